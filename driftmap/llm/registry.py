@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import exact_dedup, mixing, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_digest(_table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
@@ -79,5 +83,5 @@ SELECT doc_id, size, source_size, target,
 FROM f1
 """
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
+QUERIES = {"op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
 ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
