@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, tokens, url_filter
+from . import exact_dedup, mixing, packing, quality, tokens, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,37 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (VALUES (3), (8), (61)) AS v(k))),
+h AS (SELECT doc_id, k, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k, s) > 1),
+c AS (SELECT doc_id, k, count(DISTINCT p) AS n FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id, k),
+l AS (
+  SELECT doc_id, sum(n - 1)::BIGINT AS dups
+  FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.dups, 0)::BIGINT AS n_dup_lines,
+         coalesce(c3.n, 0)::BIGINT AS n_repeat_words, coalesce(c8.n, 0)::BIGINT AS n_covered, coalesce(c61.n, 0) > 0 AS too_long
+  FROM d LEFT JOIN l USING (doc_id)
+  LEFT JOIN c c3 ON c3.doc_id = d.doc_id AND c3.k = 3
+  LEFT JOIN c c8 ON c8.doc_id = d.doc_id AND c8.k = 8
+  LEFT JOIN c c61 ON c61.doc_id = d.doc_id AND c61.k = 61)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_covered <= 0.3 * n_words AND NOT too_long AS kept
+FROM m
+"""
+
 OP8_SQL = """
 SELECT doc_id,
        max(doc_id) OVER g AS keep_id,
@@ -87,5 +118,5 @@ SELECT doc_id, size, source_size, target,
 FROM f1
 """
 
-QUERIES = {"op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
-ORACLES = {"op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
+QUERIES = {"op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
+ORACLES = {"op3_repetition_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
