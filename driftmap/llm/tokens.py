@@ -1,10 +1,11 @@
 """Token ids of whole texts, and their binary files.
 
 ``TextEncoder`` gives exactly the ids that the tokenizers library gives, faster:
-byte-level BPE never merges across a single space between two non-space
-characters, so a text is cut at those spaces, each distinct piece goes to the
-library once, and pieces are joined again with array gathers. Texts where a
-space touches other white space go to the library whole.
+byte-level BPE never merges across a single space or line feed between two
+other characters, nor a word with the punctuation that ends it. So a text is
+cut there, each distinct word goes to the library once, and the ids are joined
+again with array gathers. Texts where white space touches white space go to the
+library whole.
 
 File format (one Parquet row per block, ordered by ``part, seq``; a block is a
 run of whole documents): ``payload`` is ``DMT1``, little-endian uint32 counts
@@ -36,11 +37,11 @@ from .scratch import materialise, new_path
 MAGIC = b"DMT1"
 END_ID = 2
 BLOCK_IDS = 1 << 18
-#: Pieces a worker remembers; the memory is bounded whatever the corpus.
-MEMO_PIECES = 1_200_000
-SLICE_BYTES = 4 << 20
-_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_TOUCHING = f" {_SPACE}|{_SPACE} "
+#: Words, and pieces with their punctuation, that a worker remembers; the memory is bounded whatever the corpus.
+MEMO = 600_000
+SLICE_BYTES = 8 << 20
+_SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHOLE = f"[{_SPACE}][{_SPACE}]|\x01"
 _encoders: dict[str, "TextEncoder"] = {}
 
 
@@ -50,104 +51,141 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in same]
+    return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def gather(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches of ``pool``, one after the other."""
+    ends = np.cumsum(lengths)
+    return pool[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Memory:
+    """Ids of numbered items, end to end in one array, and how often each item was met."""
+
+    def __init__(self, dtype: np.dtype):
+        self.n, self.begins, self.hits, self.pool = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, dtype)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of the new items."""
+        n, used = self.n, int(self.begins[self.n])
+        for name, size in (("begins", n + len(lengths) + 1), ("hits", n + len(lengths) + 1), ("pool", used + len(ids))):
+            held = getattr(self, name)
+            if size > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(size - len(held), len(held)), held.dtype)]))
+        self.begins[n + 1 : n + 1 + len(lengths)] = used + np.cumsum(lengths)
+        self.pool[used : used + len(ids)] = ids
+        self.n += len(lengths)
+        return np.arange(n, self.n)
+
+    def lengths(self, at: np.ndarray) -> np.ndarray:
+        return self.begins[at + 1] - self.begins[at]
+
+    def shrink(self) -> np.ndarray:
+        """Keep the items met most often, at most half of MEMO; their old numbers in the new order."""
+        order = np.argsort(-self.hits[: self.n], kind="stable")[: MEMO // 2]
+        keep = np.sort(order[self.hits[order] > 1])
+        hits, sizes = self.hits[keep] // 2, self.lengths(keep)
+        ids = gather(self.pool, self.begins[keep], sizes)
+        self.n, self.hits[:] = 0, 0
+        self.add(ids, sizes)
+        self.hits[: self.n] = hits
+        return keep
+
+
 class TextEncoder:
-    """Ids of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Ids of texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    Pieces (what stands between spaces or line feeds) are looked up with Arrow
+    in those met before. Only new pieces become Python strings; they are parted
+    into word and punctuation, and words are looked up in turn.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.letters = byte_letters()
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self._forget()
+        self.words, self.known = Memory(self.dtype), {}
+        self.pieces, self.names = Memory(self.dtype), pa.array([], pa.string())
+        self._learn(["", "\n"])
 
     @classmethod
     def shared(cls, path: str) -> "TextEncoder":
-        """The worker's encoder: its memory of pieces outlives a task."""
+        """The worker's encoder: its memory outlives a task."""
         if path not in _encoders:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.begins = np.zeros(1 << 16, np.int64)
-        self.pool = np.zeros(1 << 18, self.dtype)
-        self.used = 0
-
-    def _room(self, name: str, size: int) -> None:
-        held = getattr(self, name)
-        if size > len(held):
-            setattr(self, name, np.concatenate([held, np.zeros(max(size - len(held), len(held)), held.dtype)]))
-
-    def _remember(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        n, size = len(self.known), int(lengths.sum())
-        self._room("begins", n + len(pieces) + 1)
-        self._room("pool", self.used + size)
-        self.begins[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(lengths)
-        self.pool[self.used : self.used + size] = ids
-        self.used += size
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
-
-    def _gather(self, at: np.ndarray) -> np.ndarray:
-        """The ids of the known pieces ``at``, one after the other."""
-        lengths = self.begins[at + 1] - self.begins[at]
-        ends = np.cumsum(lengths)
-        return self.pool[np.repeat(self.begins[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-
-    def _ask(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
-        self._remember(pieces, np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces.
-
-        A word and the ASCII punctuation that ends it never merge, so they are
-        learned apart. Words that begin with a space are sent as one text,
-        joined by line feeds, which stand alone before a space.
+    def _learn(self, words: list[str]) -> None:
+        """Ask for new words.
+
+        A run of letters, with or without a space before it, is one unit of the
+        tokenizer's pre-tokenisation and goes straight to the library's model;
+        anything else goes through the whole library.
         """
-        ends_in_word = lambda p: p[-1:].isalnum()
-        split = [(p, core, p[len(core) :]) for p in pieces if ends_in_word(core := p.rstrip(punctuation)) and len(core) < len(p)]
-        simple = set(pieces).difference(p for p, _, _ in split)
-        wanted = [p for p in dict.fromkeys([*(p for p in pieces if p in simple), *(c for _, c, _ in split), *(t for _, _, t in split)]) if p not in self.known]
-        plain = [p for p in wanted if p[:1] == " " and ends_in_word(p) and "\n" not in p]
-        if plain and len(self.line_feed) == 1:
-            ids = np.array(self.library.encode("\n".join(plain) + "\n", add_special_tokens=False).ids, self.dtype)
-            ends = np.flatnonzero(ids == self.line_feed[0])
-            if len(ends) == len(plain):
-                self._remember(plain, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
-        if rest := [p for p in wanted if p not in self.known]:
-            self._ask(rest)
-        if split := [x for x in split if x[0] not in self.known]:
-            at = np.array([(self.known[c], self.known[t]) for _, c, t in split])
-            lengths = self.begins[at + 1] - self.begins[at]
-            self._remember([p for p, _, _ in split], self._gather(at.ravel()), lengths.sum(axis=1))
+        runs = [w for w in words if (bare := w[1:] if w[:1] == " " else w).isalpha() and max(bare) < "\u0530"]
+        tokenize, letters = self.library.model.tokenize, self.letters
+        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in runs]
+        if len(runs) < len(words):
+            direct = set(runs)
+            rest = [w for w in words if w not in direct]
+            found += [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+            runs += rest
+        numbers = self.words.add(np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64))
+        self.known.update(zip(runs, numbers.tolist()))
+
+    @staticmethod
+    def _parts(name: str) -> tuple[str, str, str]:
+        """Line feed or nothing, word, and the ASCII punctuation after it, which never merges with it."""
+        mark = name[:1]
+        piece = name[1:] if mark in ("\x01", "\x02") else " " + name
+        word = piece.rstrip(punctuation)
+        last = word[-1:]
+        fed = "\n" if mark == "\x01" else ""
+        return (fed, word, piece[len(word) :]) if last.isalnum() and last < "\u0530" else (fed, piece, "")
+
+    def _add_pieces(self, names: pa.Array) -> np.ndarray:
+        parts = [p for name in names.to_pylist() for p in (("", " " + name, "") if name.isalpha() else self._parts(name))]
+        if new := [w for w in dict.fromkeys(parts) if w not in self.known]:
+            self._learn(new)
+        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.words.hits[at] += 1
+        sizes = self.words.lengths(at)
+        numbers = self.pieces.add(gather(self.words.pool, self.words.begins[at], sizes), sizes.reshape(-1, 3).sum(axis=1))
+        self.names = pa.concat_arrays([self.names, names])
+        return numbers
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.split_pattern(texts, " ")
+        if self.pieces.n > MEMO:
+            self.names = self.names.take(pa.array(self.pieces.shrink()))
+        if self.words.n > MEMO:
+            held = list(self.known)
+            self.known = {held[i]: k for k, i in enumerate(self.words.shrink().tolist())}
+            self._learn([w for w in ("", "\n") if w not in self.known])
+        lists = pc.split_pattern(pc.binary_join_element_wise("\x02", pc.replace_substring(texts, "\n", " \x01"), ""), " ")
         coded = lists.flatten().dictionary_encode()
-        counts = np.diff(lists.offsets.to_numpy())
-        names = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        firsts = np.cumsum(counts) - counts
-        spaced = [" " + p for p in names]
-        lead = [names[i] for i in codes[firsts]]
-        if len(self.known) > MEMO_PIECES:
-            self._forget()
-        new = [p for p in dict.fromkeys([*spaced, *lead]) if p not in self.known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, spaced), np.int64, len(spaced))[codes]
-        at[firsts] = np.fromiter(map(self.known.__getitem__, lead), np.int64, len(lead))
-        lengths = self.begins[at + 1] - self.begins[at]
-        ids = self._gather(at)
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = self._add_pieces(coded.dictionary.take(pa.array(new)))
+        self.pieces.hits[at] += 1
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = self.pieces.lengths(at)
+        firsts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
         per_text = np.add.reduceat(lengths, firsts) if len(firsts) else np.zeros(0, np.int64)
-        return ids, per_text
+        return gather(self.pieces.pool, self.pieces.begins[at], lengths), per_text
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()).cast(pa.string()), "")
-        whole = pc.match_substring_regex(texts, _TOUCHING)
+        whole = pc.match_substring_regex(texts, _WHOLE)
         if not pc.any(whole).as_py():
             return self._pieces(texts)
         flags = whole.to_numpy(zero_copy_only=False)
