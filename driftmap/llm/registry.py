@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality, tokens, url_filter
+from . import exact_dedup, minhash, mixing, packing, pii, quality, secret_scan, tokens, url_filter
+
+from .scratch import new_path
+from .spans import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +48,27 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.detect(_table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    order = F.array(*[F.lit(k) for k in (*pii.BASE, *pii.EXTRA)])
+    place = lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    everything = F.array_sort(F.concat(F.transform("base", place), F.transform("added", place)))
+    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(everything).alias("spans"))
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = new_path(spark, "ledger")
+    index = secret_scan.update(_table(spark, sf_dir, "documents"), ledger, "doc_id", "text")
+    out = secret_scan.report(index, ledger)
+    order = F.array(*[F.lit(r.name) for r in secret_scan.RULES])
+    place = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["rule"]).alias("rank"), s["end"].alias("end"), s["rule"].alias("kind"))
+    out = out.withColumn("everything", F.array_sort(F.transform("findings", place)))
+    base = F.filter("everything", lambda s: s["rank"] <= len(secret_scan.BASE))
+    count = lambda kind: F.size(F.filter("everything", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(F.col("path").alias("doc_id"), *[count(k) for k in secret_scan.BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("everything")).alias("spans"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -123,5 +147,5 @@ SELECT doc_id, size, source_size, target,
 FROM f1
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup, "op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
+QUERIES = {"op4_pii_boosting": op4_pii_boosting, "op7_secret_ledger": op7_secret_ledger, "op1_minhash_dedup": op1_minhash_dedup, "op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
 ORACLES = {"op3_repetition_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
