@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, pii, quality, secret_scan, tokens, url_filter
+from . import exact_dedup, minhash, mixing, packing, pii, quality, secret_scan, tokens, toxicity, url_filter
 
 from .scratch import new_path
 from .spans import written
@@ -69,6 +69,12 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("path").alias("doc_id"), *[count(k) for k in secret_scan.BASE], F.sha2(written(base), 256).alias("base_sha256"), written(F.col("everything")).alias("spans"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -147,5 +153,5 @@ SELECT doc_id, size, source_size, target,
 FROM f1
 """
 
-QUERIES = {"op4_pii_boosting": op4_pii_boosting, "op7_secret_ledger": op7_secret_ledger, "op1_minhash_dedup": op1_minhash_dedup, "op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
+QUERIES = {"op10_toxicity": op10_toxicity, "op4_pii_boosting": op4_pii_boosting, "op7_secret_ledger": op7_secret_ledger, "op1_minhash_dedup": op1_minhash_dedup, "op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
 ORACLES = {"op3_repetition_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
