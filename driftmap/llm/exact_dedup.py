@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import free, materialise
 
 
 def refine(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256, hash_unique: bool = False) -> DataFrame:
@@ -66,9 +66,10 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with the same id and the same text leave one row. Columns are those
     of ``df``.
     """
-    flags = refine(df, id_col, text_col).where("kept").select(F.col("id").alias("__kept_id"), F.col("group_size").alias("__group")).distinct()
-    t = df.alias("t")
-    out = t.join(flags.alias("k"), F.col(f"t.{id_col}").eqNullSafe(F.col("k.__kept_id"))).select("t.*", "k.__group")
-    single = out.where("__group = 1").drop("__group")
+    own, group = free(df, "__own"), free(df, "__group")
+    flags = refine(df, id_col, text_col, hash_unique=True).where("kept").select(F.col("id").alias("k_id"), F.col("content_hash").alias("k_hash"), F.col("group_size").alias(group)).distinct()
+    t, k = df.withColumn(own, F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)).alias("t"), flags.alias("k")
+    out = t.join(k, F.col(f"t.{id_col}").eqNullSafe(F.col("k.k_id")) & (F.col(f"t.{own}") == F.col("k.k_hash"))).select("t.*", f"k.{group}").drop(own)
     # only rows of a real group can repeat an id with the same text
-    return single.unionByName(out.where("__group > 1").drop("__group").dropDuplicates([id_col, text_col]))
+    single = out.where(F.col(group) == 1).drop(group)
+    return single.unionByName(out.where(F.col(group) > 1).drop(group).dropDuplicates([id_col, text_col]))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import free, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,7 +114,7 @@ def repeat_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     an id take the mean of their counts.
     """
     plan = mix(df, id_col, text_col, source_col, **options)
-    times = plan.groupBy("id").agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("__times")).where("__times > 0")
-    t = df.alias("t")
-    out = t.join(times.alias("m"), F.col(f"t.{id_col}").eqNullSafe(F.col("m.id"))).select("t.*", F.explode(F.sequence(F.lit(1), F.col("m.__times"))).alias("__copy"))
-    return out.drop("__copy")
+    copy = free(df, "__copy")
+    times = plan.groupBy("id").agg(F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("times")).where("times > 0")
+    out = df.alias("t").join(times.alias("m"), F.col(f"t.{id_col}").eqNullSafe(F.col("m.id"))).select("t.*", F.explode(F.sequence(F.lit(1), F.col("m.times"))).alias(copy))
+    return out.drop(copy)

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Trees, calibrate, sigmoid
+from .scratch import free
 from .spans import add_spans, digits_of, luhn
 
 LOCAL = "A-Za-z0-9._%+-"
@@ -206,11 +207,11 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
 def redact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """``df`` with every selected span replaced by its kind in angle brackets."""
-    key = "__row"
+    key, spans = free(df, "__row"), free(df, "__spans")
     keyed = df.withColumn(key, F.struct(F.col(id_col), F.col(text_col)))
-    found = detect(keyed.select(F.col(key), F.col(text_col)), key, text_col, seed).select(F.col("id").alias(key), F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("__spans")).where(F.size("__spans") > 0).distinct()
+    found = detect(keyed.select(F.col(key), F.col(text_col)), key, text_col, seed).select(F.col("id").alias(key), F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))), F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias(spans)).where(F.size(spans) > 0).distinct()
     k, f = keyed.alias("k"), found.alias("f")
-    joined = k.join(f, F.col(f"k.{key}").eqNullSafe(F.col(f"f.{key}")), "left").select("k.*", "f.__spans")
+    joined = k.join(f, F.col(f"k.{key}").eqNullSafe(F.col(f"f.{key}")), "left").select("k.*", f"f.{spans}")
 
     def put(acc: Column, s: Column) -> Column:
         reached = F.greatest(acc["at"], s["start"])
@@ -219,5 +220,5 @@ def redact(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", seed:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col))))
-    text = F.when(F.size("__spans") > 0, F.aggregate(F.array_sort("__spans"), start, put, rest)).otherwise(F.col(text_col))
+    text = F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, put, rest)).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).select(*df.columns)

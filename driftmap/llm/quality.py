@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -130,38 +131,36 @@ def measure(text: str | None, min_repeat: int = MIN_REPEAT) -> tuple[int, int, i
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats", "n_covered", "longest")
 
 
-def _measured(df: DataFrame, text_col: str, min_repeat: int) -> DataFrame:
-    """``df`` with the measures of its texts as columns ``__n_words`` and so on."""
-    names = [f"__{m}" for m in MEASURES]
+def _measured(df: DataFrame, text_col: str, min_repeat: int, prefix: str) -> DataFrame:
+    """``df`` with the measures of its texts as further columns, whose names start with ``prefix``."""
+    at = df.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("__body"))
-            rows = [measure(t.as_py(), min_repeat) for t in texts]
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            kept = [i for i, f in enumerate(batch.schema) if f.name != "__body"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(c, pa.int64()) for c in columns)], names=[*(batch.schema.field(i).name for i in kept), *names])
+            rows = [measure(t.as_py(), min_repeat) for t in batch.column(at)]
+            columns = list(zip(*rows)) if rows else [[] for _ in MEASURES]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *(prefix + m for m in MEASURES)])
 
-    schema = df.schema
-    for name in names:
-        schema = schema.add(name, "long")
-    return df.withColumn("__body", F.col(text_col)).mapInArrow(run, schema)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(prefix + m, T.LongType()) for m in MEASURES)]))
 
 
-def _verdict(max_covered: float, max_repeat: int):
-    base = (F.col("__n_words") < MIN_WORDS) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    method = (F.col("__n_covered") <= max_covered * F.col("__n_words")) & (F.col("__longest") <= max_repeat)
-    return base, ~base & method
+def _verdict(prefix: str, max_covered: float, max_repeat: int) -> tuple[Column, Column]:
+    m = {name: F.col(prefix + name) for name in MEASURES}
+    base = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    return base, ~base & (m["n_covered"] <= max_covered * m["n_words"]) & (m["longest"] <= max_repeat)
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """One row per document: its id, the measures, ``base_failed`` and ``kept``."""
-    out = _measured(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", min_repeat)
-    base, kept = _verdict(max_covered, max_repeat)
-    return out.select("id", *[F.col(f"__{m}").alias(m) for m in MEASURES], base.alias("base_failed"), kept.alias("kept"))
+    out = _measured(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", min_repeat, "")
+    base, kept = _verdict("", max_covered, max_repeat)
+    return out.select("id", *MEASURES, base.alias("base_failed"), kept.alias("kept"))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """The rows of ``df`` whose text passes."""
-    _, kept = _verdict(max_covered, max_repeat)
-    return _measured(df, text_col, min_repeat).where(kept).select(*df.columns)
+    prefix = "__"
+    while any(c.lower() == prefix + m for c in df.columns for m in MEASURES):
+        prefix += "_"
+    _, kept = _verdict(prefix, max_covered, max_repeat)
+    return _measured(df, text_col, min_repeat, prefix).where(kept).select(*df.columns)

@@ -8,6 +8,7 @@ that setting gets a folder of its own under the temp directory.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -42,13 +43,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table written so far.
+def unique() -> str:
+    return uuid.uuid4().hex
 
-    Only for callers that have stored all results that were derived from them,
-    such as the stages of a pipeline.
-    """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def dropped(spark: SparkSession):
+    """Delete, at the end, the scratch tables written inside. Results that use them must be stored by then."""
+    before = len(_written)
+    yield
+    for path in _written[before:]:
+        delete(spark, path)
+    del _written[before:]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
