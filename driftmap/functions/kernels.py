@@ -10,6 +10,8 @@ import numpy as np
 NODES = np.array([1 / 6, 1 / 2, 5 / 6])
 #: Default boxes per dimension.
 N_BOXES = 130
+#: Box width of a layout whose points are all in one place.
+ONE_PLACE = 0.01
 
 
 def calibrate(d2: np.ndarray, perplexity: float, epsilon: float, rounds: int = 200, valid: np.ndarray | None = None) -> dict[str, np.ndarray]:
@@ -113,8 +115,8 @@ def grid_of(y: np.ndarray, low: float, width: float, boxes: int) -> tuple[np.nda
 
 
 def box_width(low: float, high: float, boxes: int) -> float:
-    """A layout of one place gets boxes of width 1."""
-    return (high - low) / boxes if high > low else 1.0
+    """A layout of one place gets small boxes."""
+    return (high - low) / boxes if high > low else ONE_PLACE
 
 
 def repulsion_fft(y: np.ndarray, boxes: int = N_BOXES, adaptive: bool = False) -> tuple[np.ndarray, float]:

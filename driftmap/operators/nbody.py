@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import N_BOXES, box_width, convolve, smooth_boxes
+from ..functions.kernels import N_BOXES, ONE_PLACE, box_width, convolve, smooth_boxes
 
 
 def bounds(layout: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def bounds(layout: DataFrame) -> DataFrame:
 
 
 def _width(boxes: int) -> Column:
-    return F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / boxes).otherwise(F.lit(1.0))
+    return F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / boxes).otherwise(F.lit(ONE_PLACE))
 
 
 def box_index(layout: DataFrame, boxes: int = N_BOXES) -> DataFrame:
