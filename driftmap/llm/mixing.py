@@ -76,12 +76,14 @@ def mix(
     weights: tuple[int, ...] = (5, 2, 1),
     max_repeats: int = 3,
     block_words: int = 32,
-    shard_words: int = 8_000_000,
+    shard_words: int = 250_000,
+    max_shards: int = 10_000,
     seed: int = 7,
 ) -> DataFrame:
     """One row per input row: ``id, source, size, source_size, target, shard, quota, taken``.
 
-    ``quota`` is the number of blocks of the row's shard and ``taken`` the
+    Shards have about ``shard_words`` words, more once that would make over
+    ``max_shards`` of them. ``quota`` is the number of blocks of the row's shard and ``taken`` the
     words of the row that the mix takes, repeats counted, at most
     ``max_repeats * size``.
     """
@@ -90,7 +92,7 @@ def mix(
     rows = materialise(rows, "mix-sizes")
     targets = plan_targets(rows, weights, max_repeats)
     blocks = F.floor(F.col("total").cast("double") / block_words + 0.5)
-    sources = materialise(apportion(targets, [], "source", "target", blocks).withColumnRenamed("seats", "source_quota").withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))), "mix-sources")
+    sources = materialise(apportion(targets, [], "source", "target", blocks).withColumnRenamed("seats", "source_quota").withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(float(shard_words)), F.col("total") / max_shards)))), "mix-sources")
     r, s = rows.alias("r"), sources.alias("s")
     dealt = r.join(s, F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.*", "s.source_size", "s.target", "s.source_quota", F.pmod(F.conv(F.substring("r.draw", 1, 8), 16, 10).cast("long"), F.col("s.n_shards")).alias("shard"))
     shards = dealt.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("shard_size"))

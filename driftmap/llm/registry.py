@@ -132,8 +132,8 @@ p1 AS (SELECT *, CASE WHEN t > s AND v > 0 THEN floor(target * (t - s) / v + 0.5
 p2a AS (SELECT *, t - sum(lo) OVER () AS rest FROM p1),
 p2 AS (SELECT *, unnest(range(lo, hi + 1)) AS k FROM p2a),
 p3 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, source ASC NULLS LAST, k) AS rank FROM p2),
-src AS (SELECT source, source_size, target, greatest(1, ceil(source_size / 8000000))::BIGINT AS n_shards,
-               lo + sum(CASE WHEN rank <= rest AND v > 0 THEN 1 ELSE 0 END) AS quota FROM p3 GROUP BY source, source_size, target, lo),
+src AS (SELECT source, source_size, target, greatest(1, ceil(source_size / greatest(250000.0, total / 10000)))::BIGINT AS n_shards,
+               lo + sum(CASE WHEN rank <= rest AND v > 0 THEN 1 ELSE 0 END) AS quota FROM p3 GROUP BY source, source_size, target, total, lo),
 d AS (SELECT r.*, source_size, target, quota AS source_quota, ('0x' || draw[1:8])::BIGINT % n_shards AS shard
       FROM r JOIN src ON r.source IS NOT DISTINCT FROM src.source),
 h AS (SELECT source, shard, source_quota AS t, sum(size)::BIGINT AS shard_size FROM d GROUP BY ALL),
