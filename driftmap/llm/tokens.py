@@ -38,7 +38,8 @@ MAGIC = b"DMT1"
 END_ID = 2
 BLOCK_IDS = 1 << 18
 #: Words, and pieces with their punctuation, that a worker remembers; the memory is bounded whatever the corpus.
-MEMO = 600_000
+MEMO_WORDS = 400_000
+MEMO_PIECES = 900_000
 SLICE_BYTES = 8 << 20
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WHOLE = f"[{_SPACE}][{_SPACE}]|\x01"
@@ -61,7 +62,11 @@ def byte_letters() -> dict[int, str]:
 def gather(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Stretches of ``pool``, one after the other."""
     ends = np.cumsum(lengths)
-    return pool[np.repeat(begins - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((begins - ends + lengths).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 class Memory:
@@ -85,9 +90,9 @@ class Memory:
     def lengths(self, at: np.ndarray) -> np.ndarray:
         return self.begins[at + 1] - self.begins[at]
 
-    def shrink(self) -> np.ndarray:
-        """Keep the items met most often, at most half of MEMO; their old numbers in the new order."""
-        order = np.argsort(-self.hits[: self.n], kind="stable")[: MEMO // 2]
+    def shrink(self, most: int) -> np.ndarray:
+        """Keep the items met most often, at most half of ``most``; their old numbers in the new order."""
+        order = np.argsort(-self.hits[: self.n], kind="stable")[: most // 2]
         keep = np.sort(order[self.hits[order] > 1])
         hits, sizes = self.hits[keep] // 2, self.lengths(keep)
         ids = gather(self.pool, self.begins[keep], sizes)
@@ -130,9 +135,11 @@ class TextEncoder:
         tokenizer's pre-tokenisation and goes straight to the library's model;
         anything else goes through the whole library.
         """
-        runs = [w for w in words if (bare := w[1:] if w[:1] == " " else w).isalpha() and max(bare) < "\u0530"]
-        tokenize, letters = self.library.model.tokenize, self.letters
-        found = [[t.id for t in tokenize(w.encode().decode("latin-1").translate(letters))] for w in runs]
+        runs = [w for w in words if (bare := w[1:] if w[:1] == " " else w).isalpha() and (w.isascii() or max(bare) < "\u0530")]
+        tokenize, letters, space = self.library.model.tokenize, self.letters, self.letters[32]
+        # ASCII letters stand for themselves in the byte alphabet
+        spelt = [w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in runs]
+        found = [[t.id for t in tokenize(w)] for w in spelt]
         if len(runs) < len(words):
             direct = set(runs)
             rest = [w for w in words if w not in direct]
@@ -152,10 +159,21 @@ class TextEncoder:
         return (fed, word, piece[len(word) :]) if last.isalnum() and last < "\u0530" else (fed, piece, "")
 
     def _add_pieces(self, names: pa.Array) -> np.ndarray:
-        parts = [p for name in names.to_pylist() for p in (("", " " + name, "") if name.isalpha() else self._parts(name))]
-        if new := [w for w in dict.fromkeys(parts) if w not in self.known]:
+        words = [" " + name for name in names.to_pylist()]
+        extra = []
+        for i, word in enumerate(words):
+            if not word[1:].isalpha():
+                fed, words[i], tail = self._parts(word[1:])
+                if fed or tail:
+                    extra.append((i, fed, tail))
+        wanted = [*words, *(f for _, f, _ in extra), *(t for _, _, t in extra)]
+        if new := [w for w in dict.fromkeys(wanted) if w not in self.known]:
             self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        at = np.full((len(words), 3), self.known[""], np.int64)
+        at[:, 1] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        for column, side in ((0, 1), (2, 2)):
+            at[[x[0] for x in extra], column] = [self.known[x[side]] for x in extra]
+        at = at.ravel()
         self.words.hits[at] += 1
         sizes = self.words.lengths(at)
         numbers = self.pieces.add(gather(self.words.pool, self.words.begins[at], sizes), sizes.reshape(-1, 3).sum(axis=1))
@@ -163,11 +181,11 @@ class TextEncoder:
         return numbers
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.pieces.n > MEMO:
-            self.names = self.names.take(pa.array(self.pieces.shrink()))
-        if self.words.n > MEMO:
+        if self.pieces.n > MEMO_PIECES:
+            self.names = self.names.take(pa.array(self.pieces.shrink(MEMO_PIECES)))
+        if self.words.n > MEMO_WORDS:
             held = list(self.known)
-            self.known = {held[i]: k for k, i in enumerate(self.words.shrink().tolist())}
+            self.known = {held[i]: k for k, i in enumerate(self.words.shrink(MEMO_WORDS).tolist())}
             self._learn([w for w in ("", "\n") if w not in self.known])
         lists = pc.split_pattern(pc.binary_join_element_wise("\x02", pc.replace_substring(texts, "\n", " \x01"), ""), " ")
         coded = lists.flatten().dictionary_encode()
