@@ -48,6 +48,11 @@ def search(knn: DataFrame, perplexity: float, epsilon: float = 1e-3, rounds: int
     return packed.mapInArrow(run, PACKED)
 
 
+def all_met(searched: DataFrame) -> DataFrame:
+    """One row: did every point reach its perplexity?"""
+    return searched.agg(F.coalesce(F.bool_and("met"), F.lit(True)).alias("met"))
+
+
 def conditional(searched: DataFrame) -> DataFrame:
     """Edges ``i, j, p`` of packed rows."""
     return searched.select("i", F.explode(F.arrays_zip("js", "ps")).alias("c")).select("i", F.col("c.js").alias("j"), F.col("c.ps").alias("p"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import N_BOXES, ONE_PLACE, box_width, convolve, smooth_boxes
+from ..functions.scalar import squared_cauchy
 
 
 def bounds(layout: DataFrame) -> DataFrame:
@@ -32,6 +33,21 @@ def box_index(layout: DataFrame, boxes: int = N_BOXES) -> DataFrame:
     return b.select("id", box("x").alias("ix"), box("y").alias("iy"), (at("x") - box("x")).alias("tx"), (at("y") - box("y")).alias("ty"))
 
 
+def box_bounds(layout: DataFrame, boxes: int = N_BOXES) -> DataFrame:
+    """``ix, iy, x0, x1, y0, y1``: the corners of every box."""
+    axis = F.explode(F.sequence(F.lit(0), F.lit(boxes - 1)))
+    b = bounds(layout).select("low", _width(boxes).alias("w")).withColumn("ix", axis).withColumn("iy", axis)
+    edge = lambda c, k: F.col("low") + (F.col(c) + k) * F.col("w")
+    return b.select("ix", "iy", edge("ix", 0).alias("x0"), edge("ix", 1).alias("x1"), edge("iy", 0).alias("y0"), edge("iy", 1).alias("y1"))
+
+
+def kernel_grid(layout: DataFrame, boxes: int = N_BOXES) -> DataFrame:
+    """``kx, ky, k``: the squared Cauchy kernel at every offset of two nodes."""
+    lag = F.explode(F.sequence(F.lit(0), F.lit(3 * boxes - 1)))
+    b = bounds(layout).select((_width(boxes) / 3).alias("h")).withColumn("kx", lag).withColumn("ky", lag)
+    return b.select("kx", "ky", squared_cauchy(F.col("kx") * F.col("h"), F.col("ky") * F.col("h")).alias("k"))
+
+
 def lagrange(t: Column) -> list[Column]:
     """Weights of the nodes at 1/6, 1/2 and 5/6 of a box."""
     a, b, c = (F.lit(v) for v in (1 / 6, 1 / 2, 5 / 6))

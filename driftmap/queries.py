@@ -198,6 +198,12 @@ def knn_ivf(spark, sf_dir):
     return r6(knn.knn_ivf(points(spark, sf_dir), 10))
 
 
+@query(f"WITH {PAIRS} SELECT i, j, round(d2, 6) + 0.0 AS d2, rank FROM (SELECT i, j, d2, (row_number() OVER (PARTITION BY i ORDER BY d2, j))::INT AS rank FROM pr) WHERE rank <= 10")
+def knn_ivf_exhaustive(spark, sf_dir):
+    """All cells are probed, so the index gives the exact neighbours."""
+    return r6(knn.knn_ivf(points(spark, sf_dir), 10, cells=20, nprobe=20))
+
+
 @query(None)
 def knn_ivf_recall(spark, sf_dir):
     p = points(spark, sf_dir)
@@ -235,6 +241,11 @@ def perplexity_search(spark, sf_dir):
     return r6(affinity.search(neighbors(spark, sf_dir), 10.0).select("i", "beta", "entropy", "met", "rounds"))
 
 
+@query("SELECT true AS met")
+def perplexity_all_met(spark, sf_dir):
+    return affinity.all_met(affinity.search(neighbors(spark, sf_dir), 10.0))
+
+
 @query(f"{SEARCH} SELECT i, unnest(js) AS j, round(unnest(list_transform(ds, lambda d: exp(-beta * d) / total)), 6) + 0.0 AS p FROM f")
 def conditional_p(spark, sf_dir):
     return r6(affinity.conditional(affinity.search(neighbors(spark, sf_dir), 10.0)))
@@ -303,13 +314,31 @@ def grid_scatter(spark, sf_dir):
     return r6(nbody.scatter(layout(spark, sf_dir)))
 
 
+@query(f"WITH {BOXES} SELECT ix, iy, round(low + ix * w, 6) + 0.0 AS x0, round(low + (ix + 1) * w, 6) + 0.0 AS x1, round(low + iy * w, 6) + 0.0 AS y0, round(low + (iy + 1) * w, 6) + 0.0 AS y1 FROM bd, (SELECT unnest(range(130))::INT AS ix), (SELECT unnest(range(130))::INT AS iy)")
+def box_bounds(spark, sf_dir):
+    return r6(nbody.box_bounds(layout(spark, sf_dir)))
+
+
+@query(f"WITH {BOXES} SELECT kx, ky, round(1 / (1 + (kx * w / 3) ^ 2 + (ky * w / 3) ^ 2) ^ 2, 6) + 0.0 AS k FROM bd, (SELECT unnest(range(390))::INT AS kx), (SELECT unnest(range(390))::INT AS ky)")
+def kernel_grid(spark, sf_dir):
+    return r6(nbody.kernel_grid(layout(spark, sf_dir)))
+
+
 @query(f"WITH {PHI} SELECT id, {_r('phi1', 'phi2', 'phi3', 'phi4')} FROM ph")
 def potentials_exact(spark, sf_dir):
     return r6(forces.potentials_exact(layout(spark, sf_dir)))
 
 
-@query(None)
+GRID = f"""{BOXES}, lw AS (SELECT id, x, y, ix, iy, {WEIGHTS} FROM bt),
+  nw AS MATERIALIZED (SELECT id, x, y, ix * 3 + a AS gx, iy * 3 + b AS gy, [wx1, wx2, wx3][a + 1] * [wy1, wy2, wy3][b + 1] AS w FROM lw, (SELECT unnest(range(3)) AS a), (SELECT unnest(range(3)) AS b)),
+  gr AS MATERIALIZED (SELECT gx, gy, sum(w) AS w1, sum(w * x) AS w2, sum(w * y) AS w3, sum(w * (x * x + y * y)) AS w4 FROM nw GROUP BY gx, gy),
+  np AS MATERIALIZED (SELECT gx, gy, sum(k * w1) AS n1, sum(k * w2) AS n2, sum(k * w3) AS n3, sum(k * w4) AS n4
+    FROM (SELECT a.gx, a.gy, b.w1, b.w2, b.w3, b.w4, 1 / (1 + ((a.gx - b.gx) ^ 2 + (a.gy - b.gy) ^ 2) * (w / 3) ^ 2) ^ 2 AS k FROM gr a, gr b, bd) GROUP BY gx, gy)"""
+
+
+@query(f"WITH {GRID} SELECT id, {', '.join(f'round(sum(w * n{k}), 6) + 0.0 AS phi{k}' for k in range(1, 5))} FROM nw JOIN np USING (gx, gy) GROUP BY id")
 def potentials_fft(spark, sf_dir):
+    """The grid's potentials by FFT; the SQL sums over all pairs of nodes."""
     return r6(nbody.potentials_fft(layout(spark, sf_dir)))
 
 
