@@ -59,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         with scratch.dropped(spark):
-            path = f"{scratch.shared_dir(spark)}/stage-{name}-{scratch.unique()}"
+            path = f"{scratch.shared_folder(spark)}/stage-{name}-{scratch.unique()}"
             stage(spark, docs, sf_dir).write.parquet(path)
         if held:
             scratch.delete(spark, held)

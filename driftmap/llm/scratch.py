@@ -9,28 +9,17 @@ that setting gets a folder of its own under the temp directory.
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
-
+from ..scratch_tables import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder. On a cluster it must be configured."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="driftmap-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+_written: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
 

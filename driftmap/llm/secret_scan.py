@@ -98,7 +98,8 @@ def update(df: DataFrame, ledger: str, path_col: str = "path", text_col: str = "
     pending = blobs.select("blob", "pick", F.array_except(everything, F.coalesce("seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
     pending = materialise(pending, "pending")
     v, p = versions.alias("v"), pending.alias("p")
-    todo = v.join(p, F.col("v.path").eqNullSafe(F.col("p.pick"))).where(blob_of(F.col("v.body")) == F.col("p.blob")).select("p.blob", "v.body", "p.pending")
+    # both keys, since a path may have many versions
+    todo = v.join(p, F.col("v.path").eqNullSafe(F.col("p.pick")) & (blob_of(F.col("v.body")) == F.col("p.blob"))).select("p.blob", "v.body", "p.pending")
     scan(todo, rules).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     return index
 
