@@ -100,13 +100,18 @@ def kernel_spectrum(step: float, nodes: int) -> np.ndarray:
 
 
 def convolve(weights: np.ndarray, step: float) -> np.ndarray:
-    """Potentials at all nodes of weights at all nodes, ``(terms, nodes, nodes)``."""
+    """Potentials at all nodes of weights at all nodes, ``(terms, nodes, nodes)``.
+
+    The padding is transformed along one axis only, and what falls in it is not
+    transformed back.
+    """
     n = weights.shape[1]
-    spectrum = kernel_spectrum(step, n)
-    return np.stack([np.fft.irfft2(np.fft.rfft2(w, (2 * n, 2 * n)) * spectrum, (2 * n, 2 * n))[:n, :n] for w in weights])
+    wide = np.fft.fft(np.fft.rfft(weights, 2 * n, axis=2), 2 * n, axis=1)
+    wide *= kernel_spectrum(step, n)
+    return np.fft.irfft(np.fft.ifft(wide, axis=1)[:, :n], 2 * n, axis=2)[:, :, :n]
 
 
-def smooth_boxes(span: float, wanted: float = 0.5, least: int = N_BOXES, most: int = 400) -> int:
+def smooth_boxes(span: float, wanted: float = 0.5, least: int = 36, most: int = 400) -> int:
     """Boxes per dimension of width ``wanted`` at most, as a product of 2, 3, 5 and 7."""
     n = int(min(most, max(least, np.ceil(span / wanted))))
     while True:

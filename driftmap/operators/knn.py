@@ -76,18 +76,51 @@ def train_cells(points: DataFrame, cells: int, sample: int = 20_000, rounds: int
     return centres
 
 
-def knn_ivf(points: DataFrame, k: int, cells: int | None = None, nprobe: int = 20, with_self: bool = False, seed: int = 1, split: int = BLOCK) -> DataFrame:
-    """``i, j, d2, rank`` over the ``nprobe`` nearest cells of each point.
+def probes_for(points: DataFrame, centres: np.ndarray, k: int, target: float, sample: int = 200, seed: int = 1) -> int:
+    """How many cells must be probed for a share ``target`` of true neighbours, measured on ``sample`` queries against all rows.
 
-    ``cells`` is the square root of the number of points by default, so up to
-    ``nprobe**2`` points the search is exhaustive. Every row is indexed. Cells of
-    more than ``split`` rows, and the queries of a cell, are cut into parts by
-    a hash, and each part meets each, so no task holds a hot cell whole.
+    One pass: every task keeps the k nearest rows of each query with their
+    cells; the rank of such a cell among the query's cells is what it takes.
+    """
+    asked = points.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(sample).select("id", "features").collect()
+    shared = points.sparkSession.sparkContext.broadcast((np.array([r["id"] for r in asked]), np.array([r["features"] for r in asked], float), centres))
+
+    def near(batches):
+        ids, x, cells = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                rows, own = matrix(batch.column("features")), batch.column("id").to_numpy()
+                cell = between(rows, cells, "sqeuclidean").argmin(axis=1)
+                d = between(x, rows, "sqeuclidean")
+                d[ids[:, None] == own[None, :]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                q = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[best.ravel()]), pa.array(d[q, best.ravel()]), pa.array(cell[best.ravel()].astype(np.int32))], ["i", "j", "d2", "cell"])
+
+    found = points.select("id", "features").mapInArrow(near, "i long, j long, d2 double, cell int")
+    top = found.withColumn("rank", F.row_number().over(W.partitionBy("i").orderBy("d2", "j"))).where((F.col("rank") <= k) & (F.col("d2") < float("inf"))).select("i", "cell").collect()
+    order = between(shared.value[1], centres, "sqeuclidean").argsort(axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    takes = np.sort([place[r["i"], r["cell"]] + 1 for r in top])
+    return int(takes[min(len(takes) - 1, int(np.ceil(target * len(takes))) - 1)]) if len(takes) else 1
+
+
+def knn_ivf(points: DataFrame, k: int, cells: int | None = None, nprobe: int = 20, with_self: bool = False, seed: int = 1, split: int = BLOCK, target: float | None = 0.93) -> DataFrame:
+    """``i, j, d2, rank`` over the nearest cells of each point.
+
+    ``cells`` is the square root of the number of points by default. At least
+    ``nprobe`` cells are probed, and as many as a measured recall of ``target``
+    takes (None: ``nprobe`` as it is). Every row is indexed. Cells of more than
+    ``split`` rows, and the queries of a cell, are cut into parts by a hash,
+    and each part meets each, so no task holds a hot cell whole.
     """
     n = points.count()
     cells = cells or max(1, int(np.sqrt(n)))
-    centres = points.sparkSession.sparkContext.broadcast(train_cells(points, cells, seed=seed))
-    probes = min(nprobe, len(centres.value))
+    trained = train_cells(points, cells, seed=seed)
+    centres = points.sparkSession.sparkContext.broadcast(trained)
+    probes = min(nprobe, len(trained))
+    if target is not None and probes < len(trained):
+        probes = max(probes, probes_for(points, trained, k, target, seed=seed))
 
     def assign(batches):
         for batch in batches:
