@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scratch import materialise
 from .spans import add_spans
@@ -74,7 +75,7 @@ def read_ledger(spark, path: str) -> DataFrame:
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], LEDGER)
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(LEDGER)])
 
 
 def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
