@@ -46,7 +46,7 @@ from .scratch import materialise
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
 #: Words whose hash a worker remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 300_000
 
 
 def plan_bands(threshold: float, miss: float = 1e-6) -> tuple[int, int]:
