@@ -1,7 +1,7 @@
 """Fits of a layout: affinities as one plan, then one of three engines for the steps.
 
-``single_task`` runs all steps in one task; it is chosen while the edges fit
-there (``SINGLE_TASK_EDGES``). ``distributed`` keeps edges on the executors and
+``single_task`` runs all steps in one task; it is chosen while edges and points
+fit there (``SINGLE_TASK_EDGES``). ``distributed`` keeps edges on the executors and
 the layout, two numbers per point, on the driver, up to ``DRIVER_POINTS``
 points; each step is one job. ``dataframe`` keeps everything in tables, has no
 bound, and writes the state in the shared folder after each step.
@@ -200,7 +200,7 @@ def fit(points: DataFrame, opt: Options, y: DataFrame | None = None, first_step:
     state = first_state(points.select("id"), opt, y)
     engine = opt.engine
     if engine == "auto":
-        engine = "single_task" if n * opt.num_neighbors <= SINGLE_TASK_EDGES else "distributed" if n <= DRIVER_POINTS else "dataframe"
+        engine = "single_task" if edges.count() <= SINGLE_TASK_EDGES and n <= SINGLE_TASK_EDGES else "distributed" if n <= DRIVER_POINTS else "dataframe"
     if engine == "single_task":
         found = _single_task(edges, state, opt, first_step)
     elif engine == "distributed":
