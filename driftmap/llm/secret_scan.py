@@ -113,5 +113,6 @@ def report(index: DataFrame, ledger: str, rules=RULES) -> DataFrame:
     live = rows.where(F.size(F.array_intersect("scanned", current)) > 0)
     names = F.transform(F.array_intersect("scanned", current), lambda k: F.element_at(F.split(k, "@"), 1))
     live = live.select("blob", F.filter("findings", lambda f: F.array_contains(names, f["rule"])).alias("findings"))
-    once = live.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    # a row per blob, written so that Spark can split a hot blob of the index
+    once = materialise(live.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")), "findings")
     return index.join(once, "blob").select("path", "blob", "findings")
