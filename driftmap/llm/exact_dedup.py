@@ -3,8 +3,9 @@
 Rows are grouped by byte length, survivors by a hash of their first
 characters, and only rows that still share both with another row have their
 whole content hashed. Every grouping is a partial aggregate over narrow rows,
-so a group holding a third of all rows is pre-reduced in each map task; texts
-move at most once.
+so a group holding a third of all rows is pre-reduced in each map task. Counts
+are written before rows join them, so that both sides of a join are plain
+exchanges and Spark can split a hot key. Texts move at most once.
 
 Defined results: a null text counts as empty; empty texts equal one another; a
 null id loses to any other id; rows that repeat id and text are all reported
@@ -32,15 +33,10 @@ def refine(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     base = base.withColumn("len", F.octet_length("body")).withColumn("head", F.xxhash64(F.substring("body", 1, prefix_chars)))
     narrow = materialise(base.select("id", "len", "head"), "refine-narrow")
-    by_length = narrow.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len")
-    by_head = narrow.join(by_length, "len", "left_semi").groupBy("len", "head").agg(F.count(F.lit(1)).alias("n"))
-    open_ids = (
-        narrow.join(by_length.withColumn("same_len", F.lit(True)), "len", "left")
-        .join(by_head.where("n > 1").select("len", "head", F.lit(True).alias("same_head")), ["len", "head"], "left")
-        .where("same_len")
-        .select("id", "len", "head", F.coalesce("same_head", F.lit(False)).alias("open"))
-        .distinct()
-    )
+    by_length = materialise(narrow.groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len"), "refine-lengths")
+    same_len = narrow.join(by_length, "len", "left_semi")
+    by_head = materialise(same_len.groupBy("len", "head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len", "head", F.lit(True).alias("same_head")), "refine-heads")
+    open_ids = same_len.join(by_head, ["len", "head"], "left").select("id", "len", "head", F.coalesce("same_head", F.lit(False)).alias("open")).distinct()
     b, o = base.alias("b"), open_ids.alias("o")
     joined = b.join(o, F.col("b.id").eqNullSafe(F.col("o.id")) & (F.col("b.len") == F.col("o.len")) & (F.col("b.head") == F.col("o.head")), "left")
     is_open = F.coalesce(F.col("o.open"), F.lit(False))
@@ -54,7 +50,7 @@ def refine(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix
         "refine-hashed",
     )
     opened = hashed.where("stage = 'content'")
-    groups = opened.groupBy("content_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(opened.groupBy("content_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "refine-groups")
     settled = hashed.where("stage <> 'content'").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "content_hash", "stage")
     found = opened.join(groups, "content_hash").select("id", "keep_id", "group_size", "content_hash", "stage")
     return found.unionByName(settled).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "content_hash", "stage")
