@@ -297,7 +297,8 @@ def near_duplicates(
     bands, rows = plan_bands(num / den, miss)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
     sketch = materialise(docs.mapInArrow(_sketch(shingle, bands, rows), "id long, n_shingles long, set_hash binary, bands array<long>, sign binary"), "sketch")
-    per_set = sketch.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
+    # tables of one row per group are written before rows join them: then both sides are exchanges, and Spark can split a hot key
+    per_set = materialise(sketch.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "sets")
     member = materialise(sketch.select("id", "n_shingles", "set_hash").join(per_set, "set_hash", "left").select("id", "n_shingles", "rep"), "members")
     reps = sketch.join(per_set.withColumnRenamed("rep", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"])
     reps = materialise(reps.select(F.col("id").alias("rep"), "bands", "sign"), "reps")
@@ -310,13 +311,13 @@ def near_duplicates(
     compared = units.repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "sign").mapInArrow(_similar_signatures(num / den - slack), "a long, b long")
     sign = reps.select("rep", "sign")
     signed = pairs.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b")
-    clusters = components(signed.select("a", "b", "x", "y").mapInArrow(_near_pairs(num / den - slack), "a long, b long").unionByName(compared))
+    clusters = materialise(components(signed.select("a", "b", "x", "y").mapInArrow(_near_pairs(num / den - slack), "a long, b long").unionByName(compared)), "components")
 
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
     in_cluster = materialise(clusters.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"), "n"), "clusters")
     full = _units(in_cluster, "cluster", tile).join(docs.withColumnRenamed("id", "rep"), "rep")
     confirmed = full.repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "body").mapInArrow(_similar_sets(shingle, num, den), "a long, b long")
-    found = components(confirmed).withColumnRenamed("node", "rep")
+    found = materialise(components(confirmed).withColumnRenamed("node", "rep"), "components")
 
     out = member.join(found, "rep", "left")
     component = F.coalesce("component", "rep", "id")
