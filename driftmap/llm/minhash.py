@@ -140,6 +140,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                     else:
                         out.append((name, 0, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        _words.clear()  # workers go on to other operators
 
     return run
 
@@ -198,6 +199,7 @@ def _by_unit(batches, handle):
             held.append(batch.slice(a, b - a))
     if held:
         yield from handle(pa.Table.from_batches(held).combine_chunks())
+    _words.clear()
 
 
 def _edges(ids: np.ndarray, pairs: list[tuple[int, np.ndarray]]):
