@@ -4,8 +4,8 @@
 byte-level BPE never merges across a single space or line feed between two
 other characters, nor a word with the punctuation that ends it. So a text is
 cut there, each distinct word goes to the library once, and the ids are joined
-again with array gathers. Texts where white space touches white space go to the
-library whole.
+again with array gathers. Texts where white space touches white space, and
+those that hold the string of an added token, go to the library whole.
 
 File format (one Parquet row per block, ordered by ``part, seq``; a block is a
 run of whole documents): ``payload`` is ``DMT1``, little-endian uint32 counts
@@ -23,6 +23,7 @@ encoded each, an empty table gives no rows, other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from string import punctuation
 
 import numpy as np
@@ -114,7 +115,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.whole = "|".join([_WHOLE, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())])
         self.letters = byte_letters()
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words, self.known = Memory(self.dtype), {}
@@ -203,7 +204,7 @@ class TextEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         texts = pc.fill_null(texts.cast(pa.large_string()).cast(pa.string()), "")
-        whole = pc.match_substring_regex(texts, _WHOLE)
+        whole = pc.match_substring_regex(texts, self.whole)
         if not pc.any(whole).as_py():
             return self._pieces(texts)
         flags = whole.to_numpy(zero_copy_only=False)
