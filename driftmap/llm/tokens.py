@@ -5,7 +5,8 @@ byte-level BPE never merges across a single space or line feed between two
 other characters, nor a word with the punctuation that ends it. So a text is
 cut there, each distinct word goes to the library once, and the ids are joined
 again with array gathers. Texts where white space touches white space, and
-those that hold the string of an added token, go to the library whole.
+those that hold the string of an added token or one of the two control
+characters that mark pieces, go to the library whole.
 
 File format (one Parquet row per block, ordered by ``part, seq``; a block is a
 run of whole documents): ``payload`` is ``DMT1``, little-endian uint32 counts
@@ -43,7 +44,7 @@ MEMO_WORDS = 400_000
 MEMO_PIECES = 900_000
 SLICE_BYTES = 8 << 20
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_WHOLE = f"[{_SPACE}][{_SPACE}]|\x01"
+_WHOLE = f"[{_SPACE}][{_SPACE}]|[\x01\x02]"
 _encoders: dict[str, "TextEncoder"] = {}
 
 
