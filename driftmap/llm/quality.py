@@ -79,15 +79,19 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def maximal_repeats(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, np.ndarray]]:
-    """``(length, positions)`` of every maximal repeated substring of at least ``least`` words."""
+    """``(length, positions)`` of every maximal repeated substring of at least ``least`` words.
+
+    The positions are views of ``order``: together they may be quadratic in the number of words.
+    """
     found, stack = [], []
     n = len(order)
     before = np.where(order > 0, ids[order - 1], -1 - order) if n else order
+    changes = np.append(0, np.cumsum(np.diff(before) != 0))
     for i in range(1, n + 1):
         height, left = (int(lcp[i]) if i < n else 0), i - 1
         while stack and stack[-1][0] > height:
             length, left = stack.pop()
-            if (before[left:i] != before[left]).any():
+            if changes[i - 1] > changes[left]:
                 found.append((length, order[left:i]))
         if height >= least and (not stack or stack[-1][0] < height):
             stack.append((height, left))
@@ -123,9 +127,9 @@ def measure(text: str | None, min_repeat: int = MIN_REPEAT) -> tuple[int, int, i
     if longest < min_repeat:
         return n, chars, symbols, repeated_lines, repeat_words, 0, 0, longest
     spans = maximal_repeats(ids, order, lcp, min_repeat)
-    starts = np.concatenate([p for _, p in spans])
-    lengths = np.concatenate([np.full(len(p), m) for m, p in spans])
-    return n, chars, symbols, repeated_lines, repeat_words, len(spans), covered(n, starts, lengths), longest
+    # the longest repeat at each place covers what all maximal repeats cover: one that is not maximal lies in a longer one further left
+    hit = reach >= min_repeat
+    return n, chars, symbols, repeated_lines, repeat_words, len(spans), covered(n, order[hit], reach[hit]), longest
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_repeats", "n_covered", "longest")

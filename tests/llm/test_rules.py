@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -69,6 +70,26 @@ def test_suffix_array(words):
         assert len({ids[p + length] if p + length < len(ids) else None for p in at}) > 1
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=4, max_size=60), st.integers(1, 8))
+def test_coverage_is_the_union_of_all_maximal_repeats(words, least):
+    ids = quality.word_numbers(words)
+    spans = quality.maximal_repeats(ids, *quality.suffix_array(ids), least)
+    m = quality.measure(" ".join(words), least)
+    assert m[5] == len(spans)
+    assert m[6] == len({p + k for length, at in spans for p in at.tolist() for k in range(length)})
+
+
+def test_memory_of_a_repeated_word_is_linear():
+    quality.measure("word " * 100)
+    tracemalloc.start()
+    got = quality.measure("word " * 4000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == (4000, 16000, 0, 0, 4000, 3992, 4000, 3999)
+    assert peak < 20e6
+
+
 def test_long_repeats_and_covered_texts_go(spark):
     r = random.Random(1)
     text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
