@@ -21,12 +21,16 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..operators import affinity, forces, integrate, knn, layout_init, linalg, nbody, symmetrize
+from ..operators.distance import between, matrix
 from ..options import Options
 from ..scratch_tables import stored
 from .loop import EXACT_POINTS, State, kept_moves, run
 
 SINGLE_TASK_EDGES = 5_000_000
 DRIVER_POINTS = 10_000_000
+#: Points of a group, and numbers in its features and neighbours, up to which a grouped fit takes one task for it.
+GROUP_POINTS = 5_000
+GROUP_VALUES = 4_000_000
 STATE = ("id", "x", "y", "ux", "uy", "gx", "gy")
 ROWS = "kind string, step int, id long, x double, y double, ux double, uy double, gx double, gy double, z double, norm double"
 
@@ -220,40 +224,79 @@ def _result(found: DataFrame, opt: Options) -> FitResult:
     return FitResult(final.select("id", "x", "y"), snapshots, found.where("kind = 'dump'").select("step", "id", "x", "y"), metrics, final.select(*STATE))
 
 
+def nearest_rows(x: np.ndarray, k: int, metric: str = "sqeuclidean", cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest other rows of every row of x, ``(j, d2)``; ties to the earlier row.
+
+    Rows are taken so many at a time that ``cells`` distances are held. For
+    products, ``d2`` is how far each falls short of the greatest one.
+    """
+    n = len(x)
+    near, d2 = np.empty((n, k), np.int64), np.empty((n, k))
+    step = max(1, cells // n)
+    for lo in range(0, n, step):
+        d = between(x[lo : lo + step], x, metric)
+        d = -d if metric == "innerproduct" else d
+        d[np.arange(len(d)), np.arange(lo, lo + len(d))] = np.inf
+        near[lo : lo + step] = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d2[lo : lo + step] = np.take_along_axis(d, near[lo : lo + step], axis=1)
+    return near, d2 - d2.min() if metric == "innerproduct" else d2
+
+
+def joint_edges(near: np.ndarray, p: np.ndarray, mode: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joint affinities ``i, j, p`` of the conditional ones of neighbours, ordered by i and j."""
+    n, k = near.shape
+    i, j, p = np.repeat(np.arange(n), k), near.ravel(), p.ravel()
+    forth, back = i * n + j, j * n + i
+    keys, at = np.unique(np.concatenate([forth, back]), return_inverse=True)
+    joint = np.bincount(at, np.concatenate([p, p]), len(keys)) / (2 * n)
+    if mode == "one_sided":
+        kept = np.unique(at[: len(forth)])
+        keys, joint = keys[kept], joint[kept]
+    return keys // n, keys % n, joint
+
+
 def fit_groups(points: DataFrame, opt: Options, group_col: str = "group") -> DataFrame:
-    """Independent fits, one task per group: ``group, id, x, y`` of ``group, id, features``.
+    """Independent fits: ``group, id, x, y`` of ``group, id, features``.
 
-    Every group must fit in a task; groups of one point stay at the origin.
+    Groups are counted first. One of up to ``GROUP_POINTS`` points and
+    ``GROUP_VALUES`` numbers is fitted in a task, where the search for
+    neighbours is always exact; larger ones go through ``fit``, one after the
+    other, whose engines have no such bound. Groups of one point stay at the origin.
     """
     opt = replace(opt.validate(), return_style="once", dump_points=False, verbose=0)
     dtype = points.schema[group_col].dataType.simpleString()
+    metric = "innerproduct" if opt.metric == "innerproduct" else "sqeuclidean"
 
     def one(key, table):
-        from ..operators.distance import between, matrix
-
         table = table.sort_by("id")
         ids, x = table.column("id").to_numpy(), matrix(table.column("features").combine_chunks())
         n = len(ids)
         if n < 2:
             y = np.zeros((n, 2))
         else:
-            k = min(opt.num_neighbors, n) - 1
-            d = between(x, x, "sqeuclidean")
-            np.fill_diagonal(d, np.inf)
-            near = np.argsort(d, axis=1, kind="stable")[:, :k]
-            d2 = np.take_along_axis(d, near, axis=1)
+            near, d2 = nearest_rows(x, min(opt.num_neighbors, n) - 1, metric)
             p = kernels.calibrate(d2 / (d2.max() or 1.0), opt.perplexity, opt.perplexity_epsilon)["p"]
-            i, j = np.repeat(np.arange(n), k), near.ravel()
-            dense = np.zeros((n, n))
-            dense[i, j] = p.ravel()
-            joint = (dense + dense.T) / (2 * n)
-            if opt.symmetrize == "full":
-                i, j = np.nonzero(joint)
+            i, j, joint = joint_edges(near, p, opt.symmetrize)
             draw = np.random.default_rng(opt.random_seed)
-            state = State(draw.normal(0, 1e-4, (n, 2)), np.zeros((n, 2)), np.ones((n, 2)))
-            attract = lambda y: kernels.attraction(y, i, j, joint[i, j], n)
-            y = [s for _, _, s in run(state, attract, opt)][-1].y
+            first = draw.uniform(-5, 5, (n, 2)) if opt.init == "uniform" else draw.normal(0, 1e-4, (n, 2))
+            state = State(first, np.zeros((n, 2)), np.ones((n, 2)))
+            attract = lambda y: kernels.attraction(y, i, j, joint, n)
+            for _, _, last in run(state, attract, opt):
+                y = last.y
         return pa.table({"group": pa.array([key[0].as_py()] * n, table.column("group").type), "id": ids, "x": y[:, 0], "y": y[:, 1]})
 
     rows = points.select(F.col(group_col).alias("group"), F.col("id").cast("long").alias("id"), F.transform("features", lambda v: v.cast("double")).alias("features"))
-    return rows.groupBy("group").applyInArrow(one, f"group {dtype}, id long, x double, y double")
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("width"))
+    beyond = (F.col("n") > GROUP_POINTS) | (F.col("n") * (F.col("width") + F.least("n", F.lit(opt.num_neighbors))) > GROUP_VALUES)
+    large = stored(sizes.where(beyond).select(F.col("group").alias("g"), F.monotonically_increasing_id().alias("k")), "large-groups")
+    numbers = [r["k"] for r in large.select("k").collect()]
+    same = F.col("group").eqNullSafe(F.col("g"))
+    small = rows.join(F.broadcast(large), same, "left_anti") if numbers else rows
+    out = small.groupBy("group").applyInArrow(one, f"group {dtype}, id long, x double, y double")
+    if numbers:
+        apart = stored(rows.join(F.broadcast(large), same).select("k", "id", "features"), "large-points")
+        for k in numbers:
+            layout = fit(apart.where(F.col("k") == k).select("id", "features"), opt).layout
+            named = F.broadcast(large.where(F.col("k") == k).select(F.col("g").alias("group")))
+            out = out.unionByName(layout.crossJoin(named).select("group", "id", "x", "y"))
+    return out

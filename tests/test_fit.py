@@ -1,9 +1,12 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftmap import TSNE, Options, fit, fit_groups
 from driftmap.operators import forces, knn, nbody, quality
+from driftmap.plans import fit as plan
 from driftmap.plans import sweep
 from driftmap.sources import files, generate, trajectory, vectors
 from driftmap.streaming import observer
@@ -99,6 +102,41 @@ def test_groups_metrics_and_clamp(spark, blobs):
     assert nbody.bounds(ivf.layout).count() == 1
 
 
+def test_groups_too_large_for_a_task_are_fitted_whole(spark, blobs, monkeypatch):
+    monkeypatch.setattr(plan, "GROUP_POINTS", 30)
+    rows = blobs.select(F.when(F.col("id") % 4 > 0, 1).alias("group"), "id", "features")
+    opt = Options(perplexity=5, num_neighbors=16, n_iter=10)
+    got = {(r.group, r.id): (r.x, r.y) for r in fit_groups(rows, opt).collect()}
+    assert set(got) == {(r.group, r.id) for r in rows.collect()}
+    whole = fit(rows.where("group = 1").select("id", "features"), opt).layout.collect()
+    assert len(whole) == 90 and all(np.allclose(got[1, r.id], (r.x, r.y)) for r in whole)
+
+
+def test_groups_honour_metric_and_init(spark, blobs):
+    rows = blobs.select(F.lit("a").alias("group"), "id", "features")
+    layout = lambda **o: np.array(fit_groups(rows, Options(perplexity=5, num_neighbors=16, n_iter=o.pop("n_iter", 20), **o)).orderBy("id").select("x", "y").collect())
+    assert not np.allclose(layout(), layout(metric="innerproduct"))
+    assert np.abs(layout(n_iter=0, init="uniform")).max() > 1
+
+
+def test_neighbours_of_a_group_hold_no_square():
+    x = np.random.default_rng(1).normal(size=(3000, 4))
+    tracemalloc.start()
+    near, d2 = plan.nearest_rows(x, 5, cells=1 << 16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6
+    d = np.square(x[:, None] - x[None]).sum(axis=2) + np.diag(np.full(3000, np.inf))
+    assert (near == np.argsort(d, axis=1)[:, :5]).all() and np.allclose(d2, np.sort(d, axis=1)[:, :5])
+    p = np.random.default_rng(2).random((3000, 5))
+    dense = np.zeros((3000, 3000))
+    dense[np.arange(3000)[:, None], near] = p
+    joint = (dense + dense.T) / 6000
+    for mode, where in (("full", joint > 0), ("one_sided", dense > 0)):
+        i, j, got = plan.joint_edges(near, p, mode)
+        assert (np.stack([i, j]) == np.nonzero(where)).all() and np.allclose(got, joint[i, j])
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, 2.0, 3, [[1.0], [2.0]]), (2, 5.0, 6, [[3.0], [4.0]])], "k int, a double, b int, m array<array<double>>")
     assert vectors.vectorise(df, "k", ["a", "b"]).orderBy("id").first().features == [2.0, 3.0]
