@@ -27,8 +27,9 @@ estimate falls ``slack`` below the threshold with a smaller one.
 Defined results: a null, empty or wordless text has the empty set and links
 with nothing; a text shorter than a shingle is one shingle; rows that share an
 id are one node and pool their links; a row without an id joins the component
-of an equal set but never represents one; an empty table gives an empty
-result; other columns are ignored.
+of an equal set but never represents one, and is not compared with other sets
+(``drop_near_duplicates`` numbers such rows, so there they are); an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -327,7 +328,23 @@ def near_duplicates(
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each component, the one with the least id. Columns are those of ``df``."""
-    kept = near_duplicates(df, id_col, text_col, **options).where("kept").select(F.col("id").alias("__kept_id")).distinct()
-    t = df.alias("t")
-    return t.join(kept.alias("k"), F.col(f"t.{id_col}").cast("long").eqNullSafe(F.col("k.__kept_id"))).select("t.*")
+    """The rows of ``df`` that stay: one document of each component, the one with the least id. Columns are those of ``df``.
+
+    Rows without an id are documents each, numbered after the greatest id: they
+    are linked like all others, and stay if nothing with an id is in their component.
+    """
+    key = "__row_key"
+    while any(c.lower() == key for c in df.columns):
+        key += "_"
+    number = F.col(id_col).cast("long")
+    found = df.agg(F.max(number).alias("top"), F.count(F.when(number.isNull(), 1)).alias("loose")).first()
+    keyed = df.withColumn(key, number)
+    if found["loose"]:
+        top = max(found["top"] or 0, 0)
+        if top >= 1 << 62:
+            raise ValueError("no numbers are left after the greatest id for rows without an id")
+        loose = df.where(number.isNull()).withColumn(key, F.monotonically_increasing_id() + (top + 1))
+        keyed = keyed.where(F.col(key).isNotNull()).unionByName(materialise(loose, "without-id"))
+    kept = near_duplicates(keyed, key, text_col, **options).where("kept").select(F.col("id").alias("__kept_id")).distinct()
+    t = keyed.alias("t")
+    return t.join(kept.alias("k"), F.col(f"t.{key}") == F.col("k.__kept_id")).select("t.*").drop(key)

@@ -85,6 +85,14 @@ def test_empty_sets_are_linked_with_nothing(spark, odd):
     assert by[7] == (7, 1, 7, True) and by[6] == (6, 1, 6, True)
 
 
+def test_rows_without_ids_are_linked_each(spark):
+    words = [f"w{k}" for k in range(60)]
+    one, near, other = " ".join(words), " ".join(words[:59]), " ".join(f"v{k}" for k in range(60))
+    rows = [(7, one, 1), (None, one, 2), (None, near, 3), (None, other, 4), (None, other, 5), (None, None, 6), (None, "", 7), (9, other + " x y", 8), (None, "quite alone here", 9)]
+    kept = {r.row for r in minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()}
+    assert kept == {1, 6, 7, 8, 9}
+
+
 def test_packing_odd_rows(spark, odd):
     out = packing.pack_documents(odd).toPandas()
     assert out[out.piece == 0].shape[0] == len(ROWS)
