@@ -8,7 +8,7 @@ and links are confirmed on full sets.
 
 The steps keep groups bounded, whatever their size:
 
-1. Rows with equal sets fold into a representative (a partial aggregate).
+1. Rows with equal sets fold into one node (a partial aggregate).
 2. Representatives that share a band are candidates. A band's two-row buckets
    give their pair in plain aggregates. Larger buckets are cut into tiles of
    ``tile`` rows by a hash; each pair of tiles is one unit of work, which compares
@@ -24,12 +24,14 @@ A pair over the threshold shares no band with probability at most ``miss``
 (1e-6 by default; the numbers of bands and rows follow from it), and its
 estimate falls ``slack`` below the threshold with a smaller one.
 
+A distinct set has a number of its own as its node, so rows without an id are
+linked like all others and an id that many rows share brings in no other row.
+
 Defined results: a null, empty or wordless text has the empty set and links
 with nothing; a text shorter than a shingle is one shingle; rows that share an
-id are one node and pool their links; a row without an id joins the component
-of an equal set but never represents one, and is not compared with other sets
-(``drop_near_duplicates`` numbers such rows, so there they are); an empty table
-gives an empty result; other columns are ignored.
+id pool their links (unless ``pool_ids`` is off); ``component_id`` is the least
+id reachable, null if no row of the component has one; equal rows are reported
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise
+from .scratch import free, materialise
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
@@ -120,26 +122,26 @@ def band_keys(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(shingle: int, bands: int, rows: int):
-    """Batches of ``id, body`` to ``id, n_shingles, set_hash, bands, sign``."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("sign", pa.binary())])
+    """Batches of ``id, key, body`` to ``id, key, n_shingles, set_hash, bands, sign``."""
+    schema = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("sign", pa.binary())])
 
     def run(batches):
         from hashlib import blake2b
 
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("body")
+            ids, keys_, texts = batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("body")
             for lo in range(0, len(ids), 256):
                 sets = [shingle_set(t.as_py(), shingle) for t in texts[lo : lo + 256]]
                 full = [s for s in sets if len(s)]
                 signs = signatures(full, bands * rows) if full else np.zeros((0, bands * rows), np.uint32)
                 keys, low = band_keys(signs, bands, rows), signs.astype(np.uint8)
                 out, k = [], 0
-                for name, s in zip(ids[lo : lo + 256], sets):
+                for name, own, s in zip(ids[lo : lo + 256], keys_[lo : lo + 256], sets):
                     if len(s):
-                        out.append((name, len(s), blake2b(s.tobytes(), digest_size=16).digest(), keys[k].tolist(), low[k].tobytes()))
+                        out.append((name, own, len(s), blake2b(s.tobytes(), digest_size=16).digest(), keys[k].tolist(), low[k].tobytes()))
                         k += 1
                     else:
-                        out.append((name, 0, None, None, None))
+                        out.append((name, own, 0, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         _words.clear()  # workers go on to other operators
 
@@ -169,14 +171,13 @@ class Forest:
         return others[at[fresh]]
 
 
-def _units(rows: DataFrame, group: str, tile: int) -> DataFrame:
-    """Deal the rows of each group (``group, rep, n``) to units of work: pairs of tiles.
+def _units(rows: DataFrame, group: str) -> DataFrame:
+    """Deal the rows of each group (``group, rep, tiles``) to units of work: pairs of tiles.
 
-    Groups of up to ``tile`` rows are one unit. Columns ``unit`` and ``side``
-    are added; a row of a larger group stands in as many units as it has tiles.
+    Groups of one tile are one unit. A column ``unit`` is added; a row of a
+    larger group stands in as many units as it has tiles.
     """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    dealt = rows.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
+    dealt = rows.withColumn("t", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("tiles")).cast("int"))
     u = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     u = u.where("tiles = 1 or t <> u")
     return u.select(*rows.columns, F.struct(F.col(group), F.least("t", "u").alias("lo"), F.greatest("t", "u").alias("hi")).alias("unit"))
@@ -280,6 +281,64 @@ def _similar_sets(shingle: int, num: int, den: int):
     return lambda batches: _by_unit(batches, handle)
 
 
+#: Stands for a missing id, so that it comes last.
+_LAST = (1 << 63) - 1
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, key, body``: the key, a hash of the text, tells rows of one id apart."""
+    body = F.col(text_col)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("key"), body.alias("body"))
+
+
+def _classes(docs: DataFrame, shingle: int, threshold: tuple[int, int], miss: float, slack: float, tile: int, tile_shingles: int, pool_ids: bool) -> DataFrame:
+    """``id, key, n_shingles, node, at, at_key`` of every row: its set's node, and id and key of the row that stands for its component."""
+    num, den = threshold
+    bands, rows = plan_bands(num / den, miss)
+    sketch = materialise(docs.mapInArrow(_sketch(shingle, bands, rows), "id long, key long, n_shingles long, set_hash binary, bands array<long>, sign binary"), "sketch")
+    place = F.coalesce("id", F.lit(_LAST))
+    # tables of one row per group are written before rows join them: then both sides are exchanges, and Spark can split a hot key
+    picked = sketch.where("set_hash is not null").groupBy("set_hash").agg(F.min(place).alias("at"), F.min_by("key", place).alias("at_key"))
+    per_set = materialise(picked.withColumn("node", F.monotonically_increasing_id()), "sets")
+    member = materialise(sketch.select("id", "key", "n_shingles", "set_hash").join(per_set, "set_hash", "left").drop("set_hash"), "members")
+    chosen = sketch.join(per_set.select("set_hash", "node", "at", "at_key"), "set_hash").where((place == F.col("at")) & (F.col("key") == F.col("at_key")))
+    # a row that is there several times counts once: the first of equal values
+    reps = materialise(chosen.groupBy(F.col("node").alias("rep")).agg(F.first("bands").alias("bands"), F.first("sign").alias("sign"), F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("equal")), "reps")
+
+    in_band = reps.select("rep", F.explode("bands").alias("key"))
+    buckets = materialise(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "buckets")
+    pairs = buckets.where("n = 2").select("a", "b").distinct()
+    large = in_band.join(buckets.where("n > 2").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "key")
+    units = _units(large, "key").join(reps.select("rep", "sign"), "rep")
+    compared = units.repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "sign").mapInArrow(_similar_signatures(num / den - slack), "a long, b long")
+    sign = reps.select("rep", "sign")
+    signed = pairs.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b")
+    clusters = materialise(components(signed.select("a", "b", "x", "y").mapInArrow(_near_pairs(num / den - slack), "a long, b long").unionByName(compared)), "components")
+
+    # tiles are bounded in rows and in shingles
+    named = clusters.select(F.col("component").alias("cluster"), F.col("node").alias("rep")).join(reps.select("rep", "size", "equal"), "rep")
+    named = named.join(per_set.select(F.col("node").alias("rep"), "at", "at_key"), "rep")
+    named = materialise(named, "clusters")
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("size") / tile_shingles)).cast("int")
+    sizes = materialise(named.groupBy("cluster").agg(tiles.alias("tiles")), "cluster-sizes")
+    in_cluster = materialise(named.join(sizes, "cluster").select("cluster", "rep", "tiles", "at", "at_key", "equal"), "dealt")
+    d, c = docs.alias("d"), in_cluster.alias("c")
+    texts = d.join(c, (F.coalesce("d.id", F.lit(_LAST)) == F.col("c.at")) & (F.col("d.key") == F.col("c.at_key"))).select("c.cluster", "c.rep", "c.tiles", "c.equal", "d.body")
+    single = texts.where("equal = 1").drop("equal")
+    texts = single.unionByName(texts.where("equal > 1").drop("equal").dropDuplicates(["rep"]))
+    confirmed = _units(texts, "cluster").repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "body").mapInArrow(_similar_sets(shingle, num, den), "a long, b long")
+    if pool_ids:
+        shared = member.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+        confirmed = confirmed.unionByName(member.where("node is not null").join(materialise(shared, "shared-ids"), "id").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    found = materialise(components(confirmed), "components")
+
+    linked = materialise(found.join(per_set.select("node", "at", "at_key"), "node"), "linked")
+    best = materialise(linked.groupBy("component").agg(F.min("at").alias("best"), F.min_by("at_key", "at").alias("best_key")), "best")
+    linked = linked.join(best, "component").select("node", "best", "best_key")
+    out = member.join(materialise(linked, "classes"), "node", "left")
+    return out.select("id", "key", "n_shingles", "node", F.coalesce("best", "at", F.coalesce("id", F.lit(_LAST))).alias("at"), F.coalesce("best_key", "at_key", "key").alias("at_key"))
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -289,62 +348,44 @@ def near_duplicates(
     miss: float = 1e-6,
     slack: float = 0.2,
     tile: int = 512,
+    tile_shingles: int = 1 << 20,
+    pool_ids: bool = True,
 ) -> DataFrame:
     """One row per document: ``id, n_shingles, component_id, kept``.
 
     Sets A and B are linked if ``threshold[1] * |A and B| >= threshold[0] * |A or B|``.
     ``component_id`` is the least id reachable over links, ``kept`` marks that
-    document.
+    document. A unit of work holds two tiles of ``tile`` sets and about
+    ``tile_shingles`` shingles.
     """
-    num, den = threshold
-    bands, rows = plan_bands(num / den, miss)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    sketch = materialise(docs.mapInArrow(_sketch(shingle, bands, rows), "id long, n_shingles long, set_hash binary, bands array<long>, sign binary"), "sketch")
-    # tables of one row per group are written before rows join them: then both sides are exchanges, and Spark can split a hot key
-    per_set = materialise(sketch.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep")), "sets")
-    member = materialise(sketch.select("id", "n_shingles", "set_hash").join(per_set, "set_hash", "left").select("id", "n_shingles", "rep"), "members")
-    reps = sketch.join(per_set.withColumnRenamed("rep", "id"), ["set_hash", "id"], "left_semi").dropDuplicates(["id", "set_hash"])
-    reps = materialise(reps.select(F.col("id").alias("rep"), "bands", "sign"), "reps")
-
-    in_band = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = materialise(in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("n > 1"), "buckets")
-    pairs = buckets.where("n = 2").select("a", "b").distinct()
-    large = in_band.join(buckets.where("n > 2").select("key", "n"), "key")
-    units = _units(large, "key", tile).join(reps.select("rep", "sign"), "rep")
-    compared = units.repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "sign").mapInArrow(_similar_signatures(num / den - slack), "a long, b long")
-    sign = reps.select("rep", "sign")
-    signed = pairs.join(sign.toDF("a", "x"), "a").join(sign.toDF("b", "y"), "b")
-    clusters = materialise(components(signed.select("a", "b", "x", "y").mapInArrow(_near_pairs(num / den - slack), "a long, b long").unionByName(compared)), "components")
-
-    sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "cluster-sizes")
-    in_cluster = materialise(clusters.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("node").alias("rep"), "n"), "clusters")
-    full = _units(in_cluster, "cluster", tile).join(docs.withColumnRenamed("id", "rep"), "rep")
-    confirmed = full.repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "body").mapInArrow(_similar_sets(shingle, num, den), "a long, b long")
-    found = materialise(components(confirmed).withColumnRenamed("node", "rep"), "components")
-
-    out = member.join(found, "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    out = _classes(_rows(df, id_col, text_col), shingle, threshold, miss, slack, tile, tile_shingles, pool_ids)
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.when((F.col("at") < _LAST) | F.col("id").isNotNull(), F.col("at")))
     return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that stay: one document of each component, the one with the least id. Columns are those of ``df``.
+def drop_near_duplicates(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    threshold: tuple[int, int] = (80, 100),
+    miss: float = 1e-6,
+    slack: float = 0.2,
+    tile: int = 512,
+    tile_shingles: int = 1 << 20,
+) -> DataFrame:
+    """The rows of ``df`` that stay: one row of each component, of the least id. Columns are those of ``df``.
 
-    Rows without an id are documents each, numbered after the greatest id: they
-    are linked like all others, and stay if nothing with an id is in their component.
+    Rows are documents each here, whatever their ids: rows that share an id are
+    not linked by it, rows without one come last, and equal rows leave one.
+    Rows with the empty set stay.
     """
-    key = "__row_key"
-    while any(c.lower() == key for c in df.columns):
-        key += "_"
-    number = F.col(id_col).cast("long")
-    found = df.agg(F.max(number).alias("top"), F.count(F.when(number.isNull(), 1)).alias("loose")).first()
-    keyed = df.withColumn(key, number)
-    if found["loose"]:
-        top = max(found["top"] or 0, 0)
-        if top >= 1 << 62:
-            raise ValueError("no numbers are left after the greatest id for rows without an id")
-        loose = df.where(number.isNull()).withColumn(key, F.monotonically_increasing_id() + (top + 1))
-        keyed = keyed.where(F.col(key).isNotNull()).unionByName(materialise(loose, "without-id"))
-    kept = near_duplicates(keyed, key, text_col, **options).where("kept").select(F.col("id").alias("__kept_id")).distinct()
-    t = keyed.alias("t")
-    return t.join(kept.alias("k"), F.col(f"t.{key}") == F.col("k.__kept_id")).select("t.*").drop(key)
+    place, key, once = free(df, "__place"), free(df, "__text"), free(df, "__once")
+    out = _classes(_rows(df, id_col, text_col), shingle, threshold, miss, slack, tile, tile_shingles, False)
+    own = F.coalesce("id", F.lit(_LAST))
+    stay = out.where(F.col("node").isNull() | ((own == F.col("at")) & (F.col("key") == F.col("at_key"))))
+    stay = stay.groupBy(own.alias("k_place"), F.col("key").alias("k_key")).agg(((F.count(F.lit(1)) == 1) | F.max("node").isNull()).alias(once))
+    keyed = df.withColumn(place, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(key, F.xxhash64(F.col(text_col)))
+    kept = keyed.alias("t").join(materialise(stay, "stay").alias("k"), (F.col(f"t.{place}") == F.col("k.k_place")) & (F.col(f"t.{key}") == F.col("k.k_key"))).select("t.*", f"k.{once}")
+    single = kept.where(F.col(once))
+    return single.unionByName(kept.where(~F.col(once)).dropDuplicates([place, key])).select(*df.columns)

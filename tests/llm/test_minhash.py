@@ -110,3 +110,37 @@ def test_distributed_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in up}
+
+
+def words(prefix, n=60):
+    return " ".join(f"{prefix}{k}" for k in range(n))
+
+
+def test_rows_of_one_id_pool_their_links(spark):
+    a, b, c = words("a"), words("b"), words("c")
+    df = spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (8, c), (9, c + " x"), (9, c)], "doc_id long, text string")
+    got = sorted((r.id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 3, True), (4, 3, False), (5, 3, False), (5, 3, False), (8, 8, True), (9, 8, False), (9, 8, False)]
+    apart = sorted((r.id, r.component_id) for r in minhash.near_duplicates(df, pool_ids=False).collect())
+    assert apart == [(3, 3), (4, 4), (5, 3), (5, 4), (8, 8), (9, 8), (9, 8)]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a, 1), (None, a, 2), (7, b, 3), (7, b, 4), (7, c, 5), (None, None, 6), (None, "", 7), (None, words("d"), 8), (None, words("d"), 9), (7, " ", 10), (7, " ", 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = sorted(r.row for r in minhash.drop_near_duplicates(df).collect())
+    assert [k for k in kept if k not in (3, 4, 8, 9)] == [1, 5, 6, 7, 10, 11]
+    assert len(set(kept) & {3, 4}) == 1 and len(set(kept) & {8, 9}) == 1
+
+
+def test_components_of_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, words("a")), (None, words("a") + " x"), (None, words("b")), (4, words("b") + " x")], "doc_id long, text string")
+    got = sorted(((r.id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=repr)
+    assert got == [(4, 4, True), (None, 4, False), (None, None, True), (None, None, True)]
+
+
+def test_tiles_are_bounded_in_shingles(spark, corpus):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df, shingle=3, threshold=(85, 100), tile_shingles=2000).collect()}
+    assert got == brute(corpus, 3, 85, 100)
