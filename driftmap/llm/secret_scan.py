@@ -5,11 +5,11 @@ Parquet table, says for each blob which rule versions have scanned it and what
 they found. A run scans only pairs of blob and rule version that the ledger
 does not have: equal contents are scanned once, whatever the number of their
 paths, and a changed rule rescans with that rule alone. Findings are joined
-back to all paths. Ids and hashes are grouped in narrow rows; a text moves once
-if its blob is unseen, and on later runs, when little is unseen, not at all.
+back to all paths. Ids and hashes are grouped in narrow rows; a text is scanned
+in the task that reads it while few rows need no scan, and moves once otherwise.
 
 Defined results: a null content is an empty blob; paths may repeat and each row
-is reported; a null path is a path; an empty table gives an empty result; other
+is reported; runs that scan one blob at once report its findings once; a null path is a path; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from .scratch import materialise
 from .spans import add_spans
 
+#: Rows of path and blob up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
 LEDGER = "blob binary, scanned array<string>, findings array<struct<rule:string,start:int,end:int>>"
 
 
@@ -88,6 +90,34 @@ def scan(blobs: DataFrame, rules=RULES) -> DataFrame:
     return blobs.select("blob", F.col("pending").alias("scanned"), F.concat(*names).alias("findings"))
 
 
+def _unseen(versions: DataFrame, index: DataFrame, pending: DataFrame, everything: Column) -> DataFrame:
+    """``blob, body, pending``: one text (a few, if a path repeats it) of each blob that is to be scanned.
+
+    Texts stay where they are read while either the pending blobs or the rows
+    that need no scan, or not by all rules, are at most ``BROADCAST_ROWS``,
+    counted: these are broadcast. Beyond that, texts meet the pending blobs in
+    an exchange.
+    """
+    v = versions.withColumn("blob", blob_of(F.col("body"))).alias("v")
+
+    def picked(rows: DataFrame) -> DataFrame:
+        # both keys, since a path may have many versions
+        p = rows.alias("p")
+        return v.join(p, F.col("v.path").eqNullSafe(F.col("p.pick")) & (F.col("v.blob") == F.col("p.blob"))).select("v.blob", "v.body", "p.pending")
+
+    if pending.count() <= BROADCAST_ROWS:
+        return picked(F.broadcast(pending))
+    new, older = pending.where(F.size("pending") == F.size(everything)), pending.where(F.size("pending") < F.size(everything))
+    i, n = index.alias("i"), new.alias("n")
+    others = materialise(i.join(n, F.col("i.path").eqNullSafe(F.col("n.pick")) & (F.col("i.blob") == F.col("n.blob")), "left_anti").distinct(), "not-new")
+    if others.count() > BROADCAST_ROWS:
+        return picked(pending)
+    o = F.broadcast(others).alias("o")
+    fresh = v.join(o, F.col("v.path").eqNullSafe(F.col("o.path")) & (F.col("v.blob") == F.col("o.blob")), "left_anti").select("blob", "body", everything.alias("pending"))
+    # not new, so at most as many as were counted
+    return fresh.unionByName(picked(F.broadcast(older)))
+
+
 def update(df: DataFrame, ledger: str, path_col: str = "path", text_col: str = "content", rules=RULES) -> DataFrame:
     """Scan what ``ledger`` has not seen, append it, and give ``path, blob`` of every row."""
     spark = df.sparkSession
@@ -98,9 +128,7 @@ def update(df: DataFrame, ledger: str, path_col: str = "path", text_col: str = "
     blobs = index.groupBy("blob").agg(F.min("path").alias("pick")).join(seen, "blob", "left")
     pending = blobs.select("blob", "pick", F.array_except(everything, F.coalesce("seen", F.array().cast("array<string>"))).alias("pending")).where(F.size("pending") > 0)
     pending = materialise(pending, "pending")
-    v, p = versions.alias("v"), pending.alias("p")
-    # both keys, since a path may have many versions
-    todo = v.join(p, F.col("v.path").eqNullSafe(F.col("p.pick")) & (blob_of(F.col("v.body")) == F.col("p.blob"))).select("p.blob", "v.body", "p.pending")
+    todo = _unseen(versions, index, pending, everything)
     scan(todo, rules).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     return index
 
@@ -114,5 +142,6 @@ def report(index: DataFrame, ledger: str, rules=RULES) -> DataFrame:
     names = F.transform(F.array_intersect("scanned", current), lambda k: F.element_at(F.split(k, "@"), 1))
     live = live.select("blob", F.filter("findings", lambda f: F.array_contains(names, f["rule"])).alias("findings"))
     # a row per blob, written so that Spark can split a hot blob of the index
-    once = materialise(live.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")), "findings")
+    # a finding counts once, even if two runs at the same time scanned its blob
+    once = materialise(live.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("findings"))).alias("findings")), "findings")
     return index.join(once, "blob").select("path", "blob", "findings")
