@@ -87,7 +87,8 @@ def mix(
     words of the row that the mix takes, repeats counted, at most
     ``max_repeats * size``.
     """
-    doc = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    # id and text, so that rows which share an id, or have none, spread over the shards
+    doc = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"), doc.alias("draw"))
     rows = materialise(rows, "mix-sizes")
     targets = plan_targets(rows, weights, max_repeats)

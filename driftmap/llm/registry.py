@@ -75,6 +75,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+u AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -153,7 +167,7 @@ WINDOW g AS (PARTITION BY coalesce(text, ''))
 OP9_SQL = r"""
 WITH r AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+         md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM r GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT]::HUGEINT AS w,
@@ -193,4 +207,4 @@ FROM f1
 """
 
 QUERIES = {"op10_toxicity": op10_toxicity, "op4_pii_boosting": op4_pii_boosting, "op7_secret_ledger": op7_secret_ledger, "op1_minhash_dedup": op1_minhash_dedup, "op3_repetition_rules": op3_repetition_rules, "op6_pack_sequences": op6_pack_sequences, "op2_token_files": op2_token_files, "op8_exact_dedup": op8_exact_dedup, "op9_source_mix": op9_source_mix, "op5_url_filter": op5_url_filter}
-ORACLES = {"op5_url_filter": OP5_SQL, "op3_repetition_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}
+ORACLES = {"op1_minhash_dedup": OP1_SQL, "op5_url_filter": OP5_SQL, "op3_repetition_rules": OP3_SQL, "op8_exact_dedup": OP8_SQL, "op9_source_mix": OP9_SQL}

@@ -322,7 +322,9 @@ def write_tokens(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     path = path or default_tokenizer()
     spark = df.sparkSession
     width = TextEncoder.shared(path).dtype.str
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body")).repartitionByRange("id").sortWithinPartitions("id", "body")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    # rows of one id, or without one, are dealt by their text
+    rows = rows.withColumn("own", F.xxhash64("body")).repartitionByRange("id", "own").sortWithinPartitions("id", "own").drop("own")
     raw = materialise(rows.mapInArrow(lambda b: _raw_blocks(b, path, end_id), "part int, seq long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"), "raw-ids")
 
     def counts(batches):

@@ -183,7 +183,9 @@ def test_held_out_examples_of_personal_data(spark):
     assert hits / true > 0.6 and hits / (hits + wrong) > 0.9
 
 
-def test_ledger_scans_only_what_is_new(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 1, 200_000])
+def test_ledger_scans_only_what_is_new(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", most)
     ledger = f"{tmp_path}/ledger"
     df = spark.createDataFrame([("a", "token=abcdef"), ("b", "token=abcdef"), ("c", None)], "path string, content string")
     rows = lambda: spark.read.parquet(ledger).count()

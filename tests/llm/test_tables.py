@@ -113,3 +113,27 @@ def test_toxicity_without_labels(spark, odd):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, labels)).collect()} == {0.5}
     some = spark.createDataFrame([(1, None), (None, 1), (7, 0), (7, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, some)).count() == len(ROWS)
+
+
+def test_rows_of_a_missing_id_spread(spark, tmp_path):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("one two three "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    shards = mixing.mix(df, shard_words=2000).groupBy("shard").count().collect()
+    assert len(shards) == 8 and max(r["count"] for r in shards) < 1000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokens.write_tokens(df, f"file://{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r.n for r in spark.read.parquet(f"{tmp_path}/t/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) < 0.4 * sum(parts)
+
+
+def test_exact_duplicates_beyond_a_broadcast(spark, odd, monkeypatch):
+    want = sorted((r.id or -1, r.keep_id or -1, r.group_size, r.kept, r.stage) for r in exact_dedup.refine(odd).collect())
+    kept = sorted((r.doc_id or -1, r.text or "") for r in exact_dedup.drop_duplicates(odd).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    for unique in (False, True):
+        got = exact_dedup.refine(odd, hash_unique=unique)
+        assert sorted((r.id or -1, r.keep_id or -1, r.group_size, r.kept, r.stage) for r in got.collect()) == want
+        assert got.where("content_hash is null").count() == (0 if unique else sum(w[4] != "content" for w in want))
+    assert sorted((r.doc_id or -1, r.text or "") for r in exact_dedup.drop_duplicates(odd).collect()) == kept
