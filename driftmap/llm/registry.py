@@ -119,17 +119,17 @@ _LABELS = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
 _RULE = "CASE " + " ".join(
     f"WHEN (host = '{rule.split('/')[0]}' OR ends_with(host, '.{rule.split('/')[0]}')) AND starts_with(path, '{rule[rule.index('/'):]}') THEN '{rule}'" for _, rule in sorted(url_filter.RULES, key=lambda r: -len(r[1]))
 ) + " END"
-_VERDICT = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_filter.RULES) + " ELSE CASE WHEN lower_ > 0.5 THEN 'block' ELSE 'allow' END END"
+_VERDICT = "CASE rule " + " ".join(f"WHEN '{rule}' THEN '{verdict}'" for verdict, rule in url_filter.RULES) + " ELSE CASE WHEN host <> '' AND lower_ > greatest(0.3, upper_) THEN 'block' ELSE 'allow' END END"
 
 
-def _level_sql(name: str, children: str, parent: str, above: str) -> str:
+def _level_sql(name: str, children: str, parent: str, above: str, few: int = 1) -> str:
     """Posterior mean and pull of each ``parent`` group over ``children``; ``above`` has up_mean and up_pull."""
     return f"""
 {name}0 AS (SELECT c.{parent}, any_value(up_mean) AS um, any_value(up_pull) AS up, sum(bad) AS b, sum(n) AS k, sum(CASE WHEN n > 0 THEN bad * bad / n ELSE 0 END) AS bb, sum((n > 0)::INT) AS c
   FROM {children} c JOIN {above} a ON a.{parent} = c.{parent} GROUP BY c.{parent}),
 {name}1 AS (SELECT *, (b + um * up) / (k + up) AS mean FROM {name}0),
 {name}2 AS (SELECT *, mean * (1 - mean) AS q, bb - 2 * mean * b + mean * mean * k - c * (mean * (1 - mean)) AS spread FROM {name}1),
-{name} AS (SELECT {parent}, mean, CASE WHEN k > 0 AND spread > 0 THEN least(50.0, greatest(2.0, q * k / spread - 1)) ELSE 50.0 END AS pull FROM {name}2)"""
+{name} AS (SELECT {parent}, CASE WHEN c <= {few} THEN um ELSE mean END AS mean, CASE WHEN c <= {few} THEN up WHEN k > 0 AND spread > 0 THEN least(50.0, greatest(2.0, q * k / spread - 1)) ELSE 50.0 END AS pull FROM {name}2)"""
 
 
 OP5_SQL = rf"""
@@ -137,7 +137,7 @@ WITH u AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(htm
 p AS (SELECT page_id, translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1) AS path,
              len(regexp_extract_all(seen, '\S+')) AS words, len(regexp_extract_all(seen, '[#*$%|!]{{2,}}|(?:&amp;){{2,}}')) AS marked FROM u),
-r AS (SELECT *, (words < 20 OR marked > 0.3 * words)::INT AS bad FROM p),
+r AS (SELECT *, (words < 20 OR marked > 0.3 * words OR regexp_matches(host || lower(path), '{url_filter.bad_words_pattern()}'))::INT AS bad FROM p),
 h0 AS (SELECT host, sum(bad)::DOUBLE AS bad, count(bad)::DOUBLE AS n, regexp_replace(host, ':[0-9]*$', '') AS name FROM r GROUP BY host),
 h1 AS (SELECT *, string_split(name, '.') AS ls FROM h0),
 h2 AS (SELECT *, len(ls) AS m, CASE WHEN len(ls) >= 3 AND ls[-2] IN ({_LABELS}) AND length(ls[-1]) = 2 THEN 3 ELSE 2 END AS keep FROM h1),
@@ -145,13 +145,14 @@ h AS (SELECT host, bad, n, array_to_string(ls[m - keep + 2:m], '.') AS suffix, 1
              CASE WHEN m <= keep OR regexp_full_match(name, '[0-9.]+') OR contains(name, '[') THEN name ELSE array_to_string(ls[m - keep + 1:m], '.') END AS domain FROM h2),
 d AS (SELECT domain, suffix, 1 AS every, sum(bad) AS bad, sum(n) AS n FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, 1 AS every, sum(bad) AS bad, sum(n) AS n FROM d GROUP BY suffix),
-flat AS (SELECT 1 AS every, 0.5::DOUBLE AS up_mean, 2.0::DOUBLE AS up_pull),{_level_sql("root", "s", "every", "flat")},
+flat AS (SELECT 1 AS every, 0.5::DOUBLE AS up_mean, 2.0::DOUBLE AS up_pull),{_level_sql("root", "s", "every", "flat", 0)},{_level_sql("corpus", "h", "every", "flat", 0)},
 ups AS (SELECT suffix, mean AS up_mean, pull AS up_pull FROM s, root),{_level_sql("sx", "d", "suffix", "ups")},
 upd AS (SELECT domain, sx.mean AS up_mean, sx.pull AS up_pull FROM d JOIN sx ON sx.suffix = d.suffix),{_level_sql("dm", "h", "domain", "upd")},
+cp AS (SELECT least(1.0, mean + 1.645 * sqrt(mean * (1 - mean) / (pull + 1))) AS upper_ FROM corpus),
 ab AS (SELECT host, bad + mean * pull AS a, n - bad + (1 - mean) * pull AS b FROM h JOIN dm ON dm.domain = h.domain),
-rep AS (SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_ FROM ab),
+rep AS (SELECT host, greatest(0, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower_, upper_ FROM ab, cp),
 j AS (SELECT page_id, host, path, {_RULE} AS rule FROM r)
-SELECT page_id, j.host, path, rule, {_VERDICT} AS verdict FROM j LEFT JOIN rep ON rep.host = j.host
+SELECT page_id, j.host, path, rule, {_VERDICT.replace('host', 'j.host')} AS verdict FROM j LEFT JOIN rep ON rep.host = j.host
 """
 
 OP8_SQL = """

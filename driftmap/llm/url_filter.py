@@ -12,7 +12,7 @@ Counts are partial aggregates, so a host with a third of all pages is reduced
 in each map task; page bodies are read once and never shuffled.
 
 Defined results: a null url, or one without ``://``, has empty host and path
-and is judged by the corpus prior; pages without an outcome add no evidence; a
+and is judged by the rules alone; pages without an outcome add no evidence; a
 corpus without outcomes allows everything no rule blocks; repeated rows count
 each; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,6 +28,8 @@ from .scratch import materialise
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Second-level labels that belong to the public suffix, as in co.uk.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+#: Words of a host or path, between other characters than letters, that name what training data should not come from.
+BAD_WORDS = ("ad", "ads", "adult", "bet", "bets", "betting", "casino", "crack", "escort", "gambling", "lottery", "malware", "payday", "phishing", "pill", "pills", "poker", "porn", "sex", "spam", "torrent", "tracker", "track", "viagra", "warez", "xxx")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,21 +68,27 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def page_is_bad(html: Column, min_words: int = 20, max_marked: float = 0.3) -> Column:
-    """A weak page outcome from the page itself: 1 if its visible text is very short or mostly symbol runs and shouting."""
+def bad_words_pattern(words=BAD_WORDS) -> str:
+    return "(?:^|[^a-z])(?:" + "|".join(words) + ")(?:[^a-z]|$)"
+
+
+def page_is_bad(html: Column, url: Column, min_words: int = 20, max_marked: float = 0.3, words=BAD_WORDS) -> Column:
+    """A weak page outcome from the page itself: 1 if its host or path names a listed word, or its visible text is very short or mostly symbol runs and shouting."""
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", " ")
-    words = F.regexp_count(seen, F.lit(r"\S+"))
+    n = F.regexp_count(seen, F.lit(r"\S+"))
     marked = F.regexp_count(seen, F.lit(r"[#*$%|!]{2,}|(?:&amp;){2,}"))
-    return F.when((words < min_words) | (marked > max_marked * words), 1).otherwise(0)
+    named = F.concat(host_of(url), F.lower(path_of(url))).rlike(bad_words_pattern(words))
+    return F.when(named | (n < min_words) | (marked > max_marked * n), 1).otherwise(0)
 
 
-def _level(children: DataFrame, parent: str, prior: DataFrame, name: str, max_strength: float) -> DataFrame:
+def _level(children: DataFrame, parent: str, prior: DataFrame, name: str, max_strength: float, few: int = 1) -> DataFrame:
     """Posterior means of ``parent`` groups and the strength with which they pull their children.
 
     ``prior`` has the mean and strength that stand above ``parent``; moments:
     with rates p_c of children of n_c pages around the mean m, the between
     variance is v = sum(n_c (p_c - m)^2 - m (1 - m)) / sum(n_c), and the
-    strength m (1 - m) / v - 1.
+    strength m (1 - m) / v - 1. A group of at most ``few`` children with
+    outcomes has nothing to add to them, so it passes on what stands above.
     """
     t = children.groupBy(parent).agg(F.sum("bad").alias("b"), F.sum("n").alias("k"), F.sum(F.when(F.col("n") > 0, F.col("bad") * F.col("bad") / F.col("n")).otherwise(0.0)).alias("bb"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("c"))
     t = t.join(prior, prior.columns[0]) if prior.columns[0] in t.columns else t.crossJoin(prior)
@@ -89,14 +97,16 @@ def _level(children: DataFrame, parent: str, prior: DataFrame, name: str, max_st
     q = F.col("mean") * (1 - F.col("mean"))
     spread = F.col("bb") - 2 * F.col("mean") * F.col("b") + F.col("mean") * F.col("mean") * F.col("k") - F.col("c") * q
     pull = F.when((F.col("k") > 0) & (spread > 0), F.least(F.lit(max_strength), F.greatest(F.lit(2.0), q * F.col("k") / spread - 1))).otherwise(F.lit(max_strength))
-    return t.select(F.col(parent), F.col("mean").alias(f"{name}_mean"), pull.alias(f"{name}_pull"))
+    alone = F.col("c") <= few
+    return t.select(F.col(parent), F.when(alone, F.col("up_mean")).otherwise(F.col("mean")).alias(f"{name}_mean"), F.when(alone, F.col("up_pull")).otherwise(pull).alias(f"{name}_pull"))
 
 
 def reputation(outcomes: DataFrame, max_strength: float = 50.0, z: float = 1.645) -> DataFrame:
-    """Per host: ``host, n, bad, prior_mean, prior_strength, mean, lower, upper``.
+    """Per host: ``host, n, bad, prior_mean, prior_strength, mean, lower, upper, corpus_upper``.
 
     ``outcomes`` has ``host`` and ``bad`` (1, 0 or null, if unlabelled). Bounds
     are the posterior mean and ``z`` standard deviations of the beta posterior.
+    ``corpus_upper`` is the upper bound of the corpus's prior of hosts.
     """
     hosts = outcomes.groupBy("host").agg(F.sum(F.coalesce("bad", F.lit(0))).cast("double").alias("bad"), F.count("bad").cast("double").alias("n"))
     name = F.regexp_replace("host", r":[0-9]*\z", "")
@@ -105,29 +115,35 @@ def reputation(outcomes: DataFrame, max_strength: float = 50.0, z: float = 1.645
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     flat = hosts.sparkSession.range(1).select(F.lit(0.5).alias("up_mean"), F.lit(2.0).alias("up_pull"))
-    root = _level(suffixes.withColumn("all", F.lit(1)), "all", flat, "root", max_strength).select(F.col("root_mean").alias("up_mean"), F.col("root_pull").alias("up_pull"))
+    root = _level(suffixes.withColumn("all", F.lit(1)), "all", flat, "root", max_strength, 0).select(F.col("root_mean").alias("up_mean"), F.col("root_pull").alias("up_pull"))
     by_suffix = _level(domains, "suffix", root, "suffix", max_strength)
     above = domains.select("domain", "suffix").join(by_suffix, "suffix").select("domain", F.col("suffix_mean").alias("up_mean"), F.col("suffix_pull").alias("up_pull"))
     by_domain = _level(hosts, "domain", above, "domain", max_strength)
-    r = hosts.join(by_domain, "domain")
+    corpus = _level(hosts.withColumn("all", F.lit(1)), "all", flat, "corpus", max_strength, 0)
+    m, pull = F.col("corpus_mean"), F.col("corpus_pull")
+    corpus = corpus.select(F.least(F.lit(1.0), m + z * F.sqrt(m * (1 - m) / (pull + 1))).alias("corpus_upper"))
+    # one row
+    r = hosts.join(by_domain, "domain").crossJoin(F.broadcast(corpus))
     a, b = F.col("bad") + F.col("domain_mean") * F.col("domain_pull"), F.col("n") - F.col("bad") + (1 - F.col("domain_mean")) * F.col("domain_pull")
     r = r.withColumn("a", a).withColumn("b", b).withColumn("mean", F.col("a") / (F.col("a") + F.col("b")))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("a") + F.col("b") + 1))
-    return r.select("host", "n", "bad", F.col("domain_mean").alias("prior_mean"), F.col("domain_pull").alias("prior_strength"), "mean", F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * sd).alias("upper"))
+    return r.select("host", "n", "bad", F.col("domain_mean").alias("prior_mean"), F.col("domain_pull").alias("prior_strength"), "mean", F.greatest(F.lit(0.0), F.col("mean") - z * sd).alias("lower"), F.least(F.lit(1.0), F.col("mean") + z * sd).alias("upper"), "corpus_upper")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, rules=RULES, limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, rules=RULES, least: float = 0.3) -> DataFrame:
     """One row per page: ``id, host, path, rule, verdict, bad_rate_lower``.
 
     ``bad`` is the page's labelled outcome, by default the weak label that
-    ``page_is_bad`` reads from ``html``.
+    ``page_is_bad`` reads from ``html`` and the url. A host is blocked if the
+    lower bound of its rate is above ``least`` and above what the corpus's
+    prior of hosts explains.
     """
-    bad = page_is_bad(F.col("html")) if bad is None else bad
+    bad = page_is_bad(F.col("html"), F.col(url_col)) if bad is None else bad
     rows = materialise(pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), bad.cast("int").alias("bad")), "pages")
-    rep = materialise(reputation(rows).select("host", "lower"), "reputation")
+    rep = materialise(reputation(rows).select("host", "lower", "corpus_upper"), "reputation")
     out = rows.join(rep, "host", "left").withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     of_rule = F.lit(None).cast("string")
     for verdict, rule in rules:
         of_rule = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(of_rule)
-    by_host = F.when(F.col("lower") > limit, "block").otherwise("allow")
+    by_host = F.when((F.col("host") != "") & (F.col("lower") > F.greatest(F.lit(least), F.col("corpus_upper"))), "block").otherwise("allow")
     return out.select("id", "host", "path", "rule", F.coalesce(of_rule, by_host).alias("verdict"), F.col("lower").alias("bad_rate_lower"))

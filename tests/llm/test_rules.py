@@ -239,6 +239,25 @@ def test_reputation_shrinks_to_what_stands_above(spark):
     assert all(0 <= r.lower <= r.mean <= r.upper <= 1 for r in got.values())
 
 
+def test_reputation_blocks_hosts_that_no_rule_names(spark):
+    """On sf0.1 six hosts are named after what they sell; their pages' text is like that of the others."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = [r for r in url_filter.judge(pages).collect() if r.rule is None]
+    blocked = {r.host for r in rows if r.verdict == "block"}
+    bad = {r.host for r in rows if re.search("casino|pills|spam|adult|bets|ads-", r.host)}
+    assert len(bad) == 6 and blocked == bad
+    neutral = {r.verdict for r in url_filter.judge(pages, bad=F.lit(None)).where("rule IS NULL").collect()}
+    assert neutral == {"allow"}
+
+
+def test_a_few_bad_pages_do_not_block(spark):
+    url = lambda h, k: f"http://{h}/p{k}"
+    rows = [(url(f"h{k % 40}.clean.net", k), int(k % 50 == 0)) for k in range(2000)] + [(url("new.clean.net", 1), 1), (url("only.one.xyz", 1), 1), (url("solo.clean.net", 2), 1)] + [(url("farm.bad.com", k), int(k % 10 > 0)) for k in range(60)] + [(None, 1)]
+    df = spark.createDataFrame([(k, u, b) for k, (u, b) in enumerate(rows)], "page_id int, url string, outcome int")
+    got = {r.host: r.verdict for r in url_filter.judge(df, bad=F.col("outcome")).collect()}
+    assert {h for h, v in got.items() if v == "block"} == {"farm.bad.com"}
+
+
 def test_domains(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("www.x.com",), ("x.com",), ("localhost",), ("10.0.0.1",)], "h string")
     got = [r.d for r in df.select(url_filter.domain_of(F.col("h")).alias("d")).collect()]
