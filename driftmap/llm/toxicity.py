@@ -1,9 +1,13 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over words, word beginnings and how often these occur. Each labelled text that names
-an identity group also appears with the group's term swapped for another one;
-the loss adds the squared difference of the two scores, so a group's mention as
-such does not move a score. Labels reach the fit from a bounded sample; scores
+A logistic model over words, word beginnings and how often these occur. Each
+labelled text that names an identity group is paired with its twin, in which
+the group's term is swapped for another one. A share of the texts that name
+none (``MENTIONS``, picked by a hash) is paired as well: with one term of a set
+inserted, and with another. The loss adds the squared difference of the two
+scores of a pair, so a group's mention as such does not move a score, be it by
+its term or by a beginning that it shares with an abusive word. The terms
+themselves are always features. Labels reach the fit from a bounded sample; scores
 cover whole texts.
 
 The sample has at most ``max_labels`` rows (``MAX_LABELS`` by default), picked by
@@ -37,6 +41,8 @@ from .scratch import materialise
 MAX_LABELS = 12_000
 MAX_FEATURES = 1_024
 MIN_TEXTS = 4
+MENTIONS = 0.25
+MEMO_WORDS = 300_000
 BEGINNINGS = (3, 4, 5, 6)
 TIMES = (1, 2, 4)
 #: Terms of the same set may stand for one another.
@@ -72,6 +78,17 @@ def swapped(words: list[str]) -> list[str] | None:
     return [_SWAPS[w][pick % len(_SWAPS[w])] if w in _SWAPS else w for w in words]
 
 
+def mentioned(words: list[str], share: float) -> tuple[list[str], list[str]] | None:
+    """The words with one and with another term of a set, for a ``share`` of all texts."""
+    pick = zlib.crc32(("mention " + " ".join(words[:50])).encode())
+    if pick % 1000 >= 1000 * share:
+        return None
+    group = IDENTITY[pick // 1000 % len(IDENTITY)]
+    first = pick // 50_000 % len(group)
+    second = (first + 1 + pick // 300_000 % (len(group) - 1)) % len(group)
+    return [*words, group[first]], [*words, group[second]]
+
+
 def features(words: list[str]) -> set[str]:
     """Distinct words, and the beginnings of longer words that occur at least so many times (``stem-``, ``stem-2``, ``stem-4``)."""
     counts = Counter(words)
@@ -92,14 +109,35 @@ class Model:
 
     def __init__(self, weights: dict[str, float], intercept: float):
         self.weights, self.intercept = weights, intercept
+        self.levels: dict[str, list[tuple[int, float]]] = {}
+        for name, weight in weights.items():
+            stem, mark, least = name.rpartition("-")
+            if mark:
+                self.levels.setdefault(stem, []).append((int(least or 1), weight))
+        self.memo: dict[str, tuple[float, list[str]]] = {}
+
+    def _learn(self, word: str) -> tuple[float, list[str]]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        stems = [word[:n] for n in BEGINNINGS if len(word) > n and word[:n] in self.levels]
+        self.memo[word] = self.weights.get(word, 0.0), stems
+        return self.memo[word]
 
     def score(self, words: list[str]) -> float:
-        weights = self.weights
-        margin = self.intercept + sum([weights[f] for f in sorted(features(words).intersection(weights))])
+        margin, met, memo = self.intercept, {}, self.memo
+        for word, k in Counter(words).items():
+            weight, stems = memo.get(word) or self._learn(word)
+            margin += weight
+            for stem in stems:
+                met[stem] = met.get(stem, 0) + k
+        for stem, k in met.items():
+            for least, weight in self.levels[stem]:
+                if k >= least:
+                    margin += weight
         return float(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, fairness: float = 5.0, ridge: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_weights(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, fairness: float = 50.0, ridge: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on log loss + ``ridge`` / 2 * |w|**2 + ``fairness`` * (score - score of the swapped text)**2.
 
     ``x, y`` are the labelled rows; rows of ``a`` and ``b`` are the texts with
@@ -147,8 +185,8 @@ def _count(batches):
         yield pa.RecordBatch.from_pydict({"feature": part, "n": pa.array([n[f] for f in part], pa.int64()), "t": pa.array([t[f] for f in part], pa.int64())})
 
 
-def _numbers(vocabulary: dict[str, int]):
-    kind = pa.schema([("toxic", pa.int32()), ("own", pa.list_(pa.int32())), ("twin", pa.list_(pa.int32()))])
+def _numbers(vocabulary: dict[str, int], mentions: float):
+    kind = pa.schema([("toxic", pa.int32()), ("own", pa.list_(pa.int32())), ("one", pa.list_(pa.int32())), ("twin", pa.list_(pa.int32()))])
     known = vocabulary.keys()
 
     def run(batches):
@@ -157,16 +195,20 @@ def _numbers(vocabulary: dict[str, int]):
             for text, toxic in zip(batch.column("body"), batch.column("toxic").to_pylist()):
                 words = words_of(text.as_py())
                 twin = swapped(words)
+                pair = (words, twin) if twin else mentioned(words, mentions)
                 number = lambda w: sorted(vocabulary[f] for f in features(w) & known)
-                out.append((toxic, number(words), number(twin) if twin else None))
+                out.append((toxic, number(words), *(map(number, pair) if pair else (None, None))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
 
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labels: int = MAX_LABELS, **options) -> Model:
-    """Fit on at most ``max_labels`` labelled rows that are not held out, picked by a hash of the id."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labels: int = MAX_LABELS, mentions: float = MENTIONS, **options) -> Model:
+    """Fit on at most ``max_labels`` labelled rows that are not held out, picked by a hash of the id.
+
+    ``mentions`` is the share of texts without a group that are paired by inserted terms.
+    """
     y = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(toxic_col).cast("int")).alias("toxic"))
     chosen = y.orderBy(F.xxhash64("id"), "id").limit(max_labels)
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
@@ -178,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     gap = F.col("t").cast("double") * n - F.col("n").cast("double") * t
     chi = gap * gap / (F.col("n") * (n + 1 - F.col("n")))
     best = counts.orderBy(chi.desc(), "feature").limit(MAX_FEATURES).collect()
-    vocabulary = {r["feature"]: k for k, r in enumerate(best)}
-    rows = sample.mapInArrow(_numbers(vocabulary), "toxic int, own array<int>, twin array<int>").collect()
+    vocabulary = {f: k for k, f in enumerate(dict.fromkeys([*(r["feature"] for r in best), *_SWAPS]))}
+    rows = sample.mapInArrow(_numbers(vocabulary, mentions), "toxic int, own array<int>, one array<int>, twin array<int>").collect()
     rows.sort(key=lambda r: (r["own"], r["toxic"]))
 
     def table(lists: list) -> np.ndarray:
@@ -189,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return x
 
     paired = [r for r in rows if r["twin"] is not None]
-    w, bias = fit_weights(table([r["own"] for r in rows]), np.array([r["toxic"] for r in rows], float), table([r["own"] for r in paired]), table([r["twin"] for r in paired]), **options)
+    w, bias = fit_weights(table([r["own"] for r in rows]), np.array([r["toxic"] for r in rows], float), table([r["one"] for r in paired]), table([r["twin"] for r in paired]), **options)
     return Model({f: float(w[k]) for f, k in vocabulary.items()}, bias)
 
 

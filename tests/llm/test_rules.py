@@ -324,10 +324,46 @@ def test_repeated_rows_follow_the_mix(spark):
 # --- toxicity
 
 
-def test_held_out_labels(spark):
-    sf = "/root/testdata/sf0.1"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels)
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+
+
+@pytest.fixture(scope="module")
+def registered(labelled):
+    return toxicity.fit(*labelled)
+
+
+def test_scores_are_the_sum_of_the_features_weights(registered):
+    r = random.Random(8)
+    names = [f.rstrip("-0123456789") for f in registered.weights]
+    for _ in range(200):
+        words = [r.choice(names) + r.choice(["", "x", "ment"]) for _ in range(r.randrange(30))]
+        margin = registered.intercept + sum(registered.weights.get(f, 0) for f in toxicity.features(words))
+        assert registered.score(words) == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))), rel=1e-9)
+
+
+def test_mentions_move_the_registered_model_less_with_the_penalty(spark, labelled, registered):
+    """Mean change of the score of held-out harmless texts when one term of a set stands in for another."""
+    docs, labels = labelled
+    plain = toxicity.fit(docs, labels, fairness=0.0)
+    harmless = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).orderBy("doc_id").limit(150).collect()
+
+    def gap(model):
+        out = []
+        for r in harmless:
+            words = toxicity.words_of(r.text)
+            for group in toxicity.IDENTITY:
+                scores = [model.score([*words, t]) for t in group]
+                out.append(max(scores) - min(scores))
+        return sum(out) / len(out), max(out)
+
+    before, after = gap(plain), gap(registered)
+    assert before[0] > 0 and after[0] < 0.7 * before[0] and after[1] < before[1], (before, after)
+
+
+def test_held_out_labels(spark, labelled, registered):
+    (docs, labels), model = labelled, registered
     test = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id")))
     scores = {r.id: r.score for r in toxicity.score(test, model).collect()}
     truth = {r.doc_id: r.toxic for r in test.select("doc_id", "toxic").collect()}

@@ -113,6 +113,8 @@ def test_toxicity_without_labels(spark, odd):
     assert {r.score for r in toxicity.score(odd, toxicity.fit(odd, labels)).collect()} == {0.5}
     some = spark.createDataFrame([(1, None), (None, 1), (7, 0), (7, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, some)).count() == len(ROWS)
+    clash = some.withColumn("id", F.lit("x")).withColumn("body", F.lit("x"))
+    assert {r.score for r in toxicity.score(odd, toxicity.fit(odd.limit(0), clash)).collect()} == {0.5}
 
 
 def test_rows_of_a_missing_id_spread(spark, tmp_path):
