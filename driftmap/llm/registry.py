@@ -54,7 +54,7 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.array(*[F.lit(k) for k in (*pii.BASE, *pii.EXTRA)])
     place = lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     everything = F.array_sort(F.concat(F.transform("base", place), F.transform("added", place)))
-    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(everything).alias("spans"))
+    return out.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.BASE], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(everything).alias("spans"), F.size(everything).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"))
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,15 +172,56 @@ def test_added_spans_and_redaction(spark):
     assert "212" not in text[1] and "<masked_email>" in text[1]
 
 
+#: Marked by hand: text, and the parts of it that are personal beyond the base kinds.
+MARKED = [
+    ("cards 4111 1111 1111 1111 5500 0055 5555 5559 on file", ["4111 1111 1111 1111", "5500 0055 5555 5559"]),
+    ("two numbers 4111111111111111 5500005555555559 side by side", ["4111111111111111", "5500005555555559"]),
+    ("one number 4111111111111112 5500005555555558 that fail", []),
+    ("ring +1 (826) 555-4081 190.137.223.204 at night", ["+1 (826) 555-4081"]),
+    ("from +44 207 555 0199 10.20.30.40 they said", ["+44 207 555 0199"]),
+    ("write to jane.doe [at] corner [dot] com today", ["jane.doe [at] corner [dot] com"]),
+    ("iban GB82 WEST 1234 5698 7654 32 please", ["GB82 WEST 1234 5698 7654 32"]),
+    ("transfer to DE89370400440532013000 by monday", ["DE89370400440532013000"]),
+    ("transfer to DE88370400440532013000 by monday", []),
+    ("order 1234567890 of part 555.123 and version 1:2:3:4:5:6:7:8", []),
+    ("serial 2390-4095-0064-8960 is on the box", []),
+    ("sum of +0 (123) 456-7890 000.111.222.333", []),
+    ("the years 1990 1991 1992 1993 1994 were dry", []),
+    ("peer 2001:db8:85a3:8d3:1319:8a2e:370:7348 connected", ["2001:db8:85a3:8d3:1319:8a2e:370:7348"]),
+    ("you can call 212-555-0187 until five", ["212-555-0187"]),
+]
+
+
+def test_hand_marked_personal_data(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(MARKED)], "doc_id int, text string")
+    got = {r.id: [s.value for s in r.added] for r in pii.detect(df).collect()}
+    hits = sum(len(set(got[k]) & set(want)) for k, (_, want) in enumerate(MARKED))
+    found, true = sum(map(len, got.values())), sum(len(want) for _, want in MARKED)
+    assert hits == found and hits >= 0.8 * true, {MARKED[k][0]: (got[k], MARKED[k][1]) for k in got if got[k] != MARKED[k][1]}
+
+
+def test_spans_added_to_the_corpus(spark):
+    """Numbers side by side, which the base loses together, are found; numbers that fail their check stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike '[0-9]{6}|[0-9]-[0-9]'")
+    want = set()
+    for r in docs.collect():
+        held = [(s, e) for _, s, e in private(r.text)]
+        parts = [m for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", r.text) if luhn(m[0])] + list(re.finditer(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", r.text))
+        want |= {(r.doc_id, m.start(), m.end()) for m in parts if not any(s < m.end() and m.start() < e for s, e in held)}
+    got = {(r.id, s.start, s.end) for r in pii.detect(docs).collect() for s in r.added}
+    assert len(want) >= 3 and got == want
+
+
 def test_held_out_examples_of_personal_data(spark):
-    model, a, b, least = pii.fit(spark)
     fresh = pii.training_examples(400, seed=99)
     df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(fresh)], "doc_id int, text string")
-    found = {r.id: [(s.start, s.end) for s in r.added] for r in pii.detect(df).collect()}
+    got = {r.id: ([(s.start, s.end) for s in r.added], [(s.start, s.end) for s in r.base]) for r in pii.detect(df).collect()}
+    found = {k: v[0] for k, v in got.items()}
+    open_ = {k for k, (_, s, e) in enumerate(fresh) if not any(x < e and s < y for x, y in got[k][1])}
     hits = sum((s, e) in found[k] for k, (_, s, e) in enumerate(fresh) if s >= 0)
     wrong = sum(len([x for x in found[k] if x != (s, e)]) for k, (_, s, e) in enumerate(fresh))
-    true = sum(s >= 0 for _, s, _ in fresh)
-    assert hits / true > 0.6 and hits / (hits + wrong) > 0.9
+    true = sum(s >= 0 for k, (_, s, _) in enumerate(fresh) if k in open_)
+    assert hits / true > 0.6 and hits / (hits + wrong) > 0.9, (hits, wrong, true)
 
 
 @pytest.mark.parametrize("most", [0, 1, 200_000])
