@@ -281,6 +281,8 @@ def _similar_sets(shingle: int, num: int, den: int):
     return lambda batches: _by_unit(batches, handle)
 
 
+#: Narrow rows up to which a counted table is broadcast; of at most 60 bytes each.
+BROADCAST_ROWS = 200_000
 #: Stands for a missing id, so that it comes last.
 _LAST = (1 << 63) - 1
 
@@ -322,10 +324,13 @@ def _classes(docs: DataFrame, shingle: int, threshold: tuple[int, int], miss: fl
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("size") / tile_shingles)).cast("int")
     sizes = materialise(named.groupBy("cluster").agg(tiles.alias("tiles")), "cluster-sizes")
     in_cluster = materialise(named.join(sizes, "cluster").select("cluster", "rep", "tiles", "at", "at_key", "equal"), "dealt")
-    d, c = docs.alias("d"), in_cluster.alias("c")
-    texts = d.join(c, (F.coalesce("d.id", F.lit(_LAST)) == F.col("c.at")) & (F.col("d.key") == F.col("c.at_key"))).select("c.cluster", "c.rep", "c.tiles", "c.equal", "d.body")
-    single = texts.where("equal = 1").drop("equal")
-    texts = single.unionByName(texts.where("equal > 1").drop("equal").dropDuplicates(["rep"]))
+    d = docs.alias("d")
+    same = (F.coalesce("d.id", F.lit(_LAST)) == F.col("c.at")) & (F.col("d.key") == F.col("c.at_key"))
+    few = in_cluster.count() <= BROADCAST_ROWS
+    read = lambda part: d.join((F.broadcast(part) if few else part).alias("c"), same).select("c.cluster", "c.rep", "c.tiles", "d.body")
+    again = in_cluster.where("equal > 1")
+    # one pass over the texts, and another one only if a row that is there several times stands for its set
+    texts = read(in_cluster) if again.isEmpty() else read(in_cluster.where("equal = 1")).unionByName(read(again).dropDuplicates(["rep"]))
     confirmed = _units(texts, "cluster").repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "body").mapInArrow(_similar_sets(shingle, num, den), "a long, b long")
     if pool_ids:
         shared = member.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
@@ -383,9 +388,22 @@ def drop_near_duplicates(
     place, key, once = free(df, "__place"), free(df, "__text"), free(df, "__once")
     out = _classes(_rows(df, id_col, text_col), shingle, threshold, miss, slack, tile, tile_shingles, False)
     own = F.coalesce("id", F.lit(_LAST))
-    stay = out.where(F.col("node").isNull() | ((own == F.col("at")) & (F.col("key") == F.col("at_key"))))
-    stay = stay.groupBy(own.alias("k_place"), F.col("key").alias("k_key")).agg(((F.count(F.lit(1)) == 1) | F.max("node").isNull()).alias(once))
-    keyed = df.withColumn(place, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(key, F.xxhash64(F.col(text_col)))
-    kept = keyed.alias("t").join(materialise(stay, "stay").alias("k"), (F.col(f"t.{place}") == F.col("k.k_place")) & (F.col(f"t.{key}") == F.col("k.k_key"))).select("t.*", f"k.{once}")
-    single = kept.where(F.col(once))
-    return single.unionByName(kept.where(~F.col(once)).dropDuplicates([place, key])).select(*df.columns)
+    out = out.withColumn("stays", F.col("node").isNull() | ((own == F.col("at")) & (F.col("key") == F.col("at_key"))))
+    # rows of one id and one text share their verdict
+    verdict = out.groupBy(own.alias("k_place"), F.col("key").alias("k_key")).agg(F.max("stays").alias("stays"), ((F.count(F.lit(1)) == 1) | F.max("node").isNull()).alias(once))
+    verdict = materialise(verdict, "verdicts")
+    keyed = df.withColumn(place, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(key, F.xxhash64(F.col(text_col))).alias("t")
+
+    def of(rows: DataFrame, how: str) -> DataFrame:
+        k = rows.alias("k")
+        return keyed.join(k, (F.col(f"t.{place}") == F.col("k.k_place")) & (F.col(f"t.{key}") == F.col("k.k_key")), how)
+
+    again = verdict.where(F.col("stays") & ~F.col(once))
+    others = verdict.where(~F.col("stays") | ~F.col(once)).select("k_place", "k_key")
+    if others.count() <= BROADCAST_ROWS:
+        kept = of(F.broadcast(others), "left_anti")
+    else:
+        kept = of(verdict.where(F.col("stays") & F.col(once)), "left_semi")
+    if not again.isEmpty():
+        kept = kept.unionByName(of(again, "left_semi").dropDuplicates([place, key]))
+    return kept.select(*df.columns)

@@ -125,7 +125,9 @@ def test_rows_of_one_id_pool_their_links(spark):
     assert apart == [(3, 3), (4, 4), (5, 3), (5, 4), (8, 8), (9, 8), (9, 8)]
 
 
-def test_one_row_of_each_component_stays(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_one_row_of_each_component_stays(spark, monkeypatch, most):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", most)
     a, b, c = words("a"), words("b"), words("c")
     rows = [(1, a, 1), (None, a, 2), (7, b, 3), (7, b, 4), (7, c, 5), (None, None, 6), (None, "", 7), (None, words("d"), 8), (None, words("d"), 9), (7, " ", 10), (7, " ", 11)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int")
