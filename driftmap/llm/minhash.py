@@ -281,8 +281,8 @@ def _similar_sets(shingle: int, num: int, den: int):
     return lambda batches: _by_unit(batches, handle)
 
 
-#: Narrow rows up to which a counted table is broadcast; of at most 60 bytes each.
-BROADCAST_ROWS = 200_000
+#: Bits of a key filter: 8 MB at most, whatever the number of keys.
+FILTER_BITS = 1 << 26
 #: Stands for a missing id, so that it comes last.
 _LAST = (1 << 63) - 1
 
@@ -293,6 +293,27 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(body).alias("key"), body.alias("body"))
 
 
+def _bit(place: str, key: str):
+    return F.pmod(F.xxhash64(place, key, F.lit(11)), F.lit(FILTER_BITS))
+
+
+def _marked(rows: DataFrame, place: str, key: str, keys: DataFrame, hit: str) -> DataFrame:
+    """``rows`` with a boolean column ``hit``: false if no row of ``keys`` (``at, at_key``) has the row's place and key, true if one may.
+
+    The keys become bitmaps of ``FILTER_BITS`` bits in all, so what is broadcast
+    is bounded. More keys let more rows pass, and none is missed: a join of the
+    rows that pass with the keys themselves decides, and only these rows move.
+    """
+    bit, bucket, bits = (free(rows, n) for n in ("__bit", "__bucket", "__bits"))
+    marks = keys.select(_bit("at", "at_key").alias(bit)).select(F.bitmap_bucket_number(bit).alias(bucket), F.bitmap_bit_position(bit).alias("place"))
+    # dealt by bucket before they are folded, so no task makes bitmaps of all buckets
+    maps = materialise(marks.repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg("place").alias(bits)), "key-filter")
+    probed = rows.withColumn(bit, _bit(place, key)).withColumn(bucket, F.bitmap_bucket_number(bit)).join(F.broadcast(maps), bucket, "left")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return probed.withColumn(hit, F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))).drop(bit, bucket, bits)
+
+
 def _classes(docs: DataFrame, shingle: int, threshold: tuple[int, int], miss: float, slack: float, tile: int, tile_shingles: int, pool_ids: bool) -> DataFrame:
     """``id, key, n_shingles, node, at, at_key`` of every row: its set's node, and id and key of the row that stands for its component."""
     num, den = threshold
@@ -324,13 +345,15 @@ def _classes(docs: DataFrame, shingle: int, threshold: tuple[int, int], miss: fl
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("size") / tile_shingles)).cast("int")
     sizes = materialise(named.groupBy("cluster").agg(tiles.alias("tiles")), "cluster-sizes")
     in_cluster = materialise(named.join(sizes, "cluster").select("cluster", "rep", "tiles", "at", "at_key", "equal"), "dealt")
-    d = docs.alias("d")
-    same = (F.coalesce("d.id", F.lit(_LAST)) == F.col("c.at")) & (F.col("d.key") == F.col("c.at_key"))
-    few = in_cluster.count() <= BROADCAST_ROWS
-    read = lambda part: d.join((F.broadcast(part) if few else part).alias("c"), same).select("c.cluster", "c.rep", "c.tiles", "d.body")
-    again = in_cluster.where("equal > 1")
-    # one pass over the texts, and another one only if a row that is there several times stands for its set
-    texts = read(in_cluster) if again.isEmpty() else read(in_cluster.where("equal = 1")).unionByName(read(again).dropDuplicates(["rep"]))
+    # only texts that may stand for a set of a cluster are moved
+    near = _marked(docs.withColumn("place", place), "place", "key", in_cluster, "hit").where("hit")
+    c = in_cluster.alias("c")
+    texts = near.join(c, (near["place"] == F.col("c.at")) & (near["key"] == F.col("c.at_key"))).select("c.cluster", "c.rep", "c.tiles", "c.equal", "body")
+    if in_cluster.where("equal > 1").isEmpty():
+        texts = texts.drop("equal")
+    else:  # a row that is there several times stands for its set once
+        texts = materialise(texts, "texts")
+        texts = texts.where("equal = 1").drop("equal").unionByName(texts.where("equal > 1").drop("equal").dropDuplicates(["rep"]))
     confirmed = _units(texts, "cluster").repartition("unit").sortWithinPartitions("unit", "rep").select("unit", "rep", "body").mapInArrow(_similar_sets(shingle, num, den), "a long, b long")
     if pool_ids:
         shared = member.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
@@ -385,25 +408,24 @@ def drop_near_duplicates(
     not linked by it, rows without one come last, and equal rows leave one.
     Rows with the empty set stay.
     """
-    place, key, once = free(df, "__place"), free(df, "__text"), free(df, "__once")
+    place, key, once, hit = (free(df, n) for n in ("__place", "__text", "__once", "__hit"))
     out = _classes(_rows(df, id_col, text_col), shingle, threshold, miss, slack, tile, tile_shingles, False)
     own = F.coalesce("id", F.lit(_LAST))
     out = out.withColumn("stays", F.col("node").isNull() | ((own == F.col("at")) & (F.col("key") == F.col("at_key"))))
     # rows of one id and one text share their verdict
     verdict = out.groupBy(own.alias("k_place"), F.col("key").alias("k_key")).agg(F.max("stays").alias("stays"), ((F.count(F.lit(1)) == 1) | F.max("node").isNull()).alias(once))
     verdict = materialise(verdict, "verdicts")
-    keyed = df.withColumn(place, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(key, F.xxhash64(F.col(text_col))).alias("t")
+    # rows that go, or of which one stays
+    others = verdict.where(~F.col("stays") | ~F.col(once)).select(F.col("k_place").alias("at"), F.col("k_key").alias("at_key"))
+    again = verdict.where(F.col("stays") & ~F.col(once)).select(F.col("k_place").alias("at"), F.col("k_key").alias("at_key"))
+    keyed = df.withColumn(place, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn(key, F.xxhash64(F.col(text_col)))
+    marked = _marked(keyed, place, key, others, hit)
+    maybe = marked.where(F.col(hit)).alias("t")
 
     def of(rows: DataFrame, how: str) -> DataFrame:
-        k = rows.alias("k")
-        return keyed.join(k, (F.col(f"t.{place}") == F.col("k.k_place")) & (F.col(f"t.{key}") == F.col("k.k_key")), how)
-
-    again = verdict.where(F.col("stays") & ~F.col(once))
-    others = verdict.where(~F.col("stays") | ~F.col(once)).select("k_place", "k_key")
-    if others.count() <= BROADCAST_ROWS:
-        kept = of(F.broadcast(others), "left_anti")
-    else:
-        kept = of(verdict.where(F.col("stays") & F.col(once)), "left_semi")
+        return maybe.join(rows.alias("k"), (F.col(f"t.{place}") == F.col("k.at")) & (F.col(f"t.{key}") == F.col("k.at_key")), how)
+
+    kept = marked.where(~F.col(hit)).unionByName(of(others, "left_anti"))
     if not again.isEmpty():
         kept = kept.unionByName(of(again, "left_semi").dropDuplicates([place, key]))
     return kept.select(*df.columns)

@@ -125,9 +125,9 @@ def test_rows_of_one_id_pool_their_links(spark):
     assert apart == [(3, 3), (4, 4), (5, 3), (5, 4), (8, 8), (9, 8), (9, 8)]
 
 
-@pytest.mark.parametrize("most", [0, 200_000])
-def test_one_row_of_each_component_stays(spark, monkeypatch, most):
-    monkeypatch.setattr(minhash, "BROADCAST_ROWS", most)
+@pytest.mark.parametrize("bits", [8, 1 << 26])
+def test_one_row_of_each_component_stays(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)  # with few bits, most rows pass the filter
     a, b, c = words("a"), words("b"), words("c")
     rows = [(1, a, 1), (None, a, 2), (7, b, 3), (7, b, 4), (7, c, 5), (None, None, 6), (None, "", 7), (None, words("d"), 8), (None, words("d"), 9), (7, " ", 10), (7, " ", 11)]
     df = spark.createDataFrame(rows, "doc_id long, text string, row int")
@@ -136,6 +136,17 @@ def test_one_row_of_each_component_stays(spark, monkeypatch, most):
     assert len(set(kept) & {3, 4}) == 1 and len(set(kept) & {8, 9}) == 1
 
 
+def test_key_filter_misses_no_key(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FILTER_BITS", 1 << 18)
+    rows = spark.range(20000).selectExpr("id as bits", "xxhash64(id) as k")
+    keys = rows.where("bits % 7 = 0").selectExpr("bits as at", "k as at_key")
+    got = minhash._marked(rows, "bits", "k", keys, "hit").collect()
+    assert len(got) == 20000
+    assert all(r.hit for r in got if r.bits % 7 == 0)
+    assert sum(r.hit for r in got if r.bits % 7) < 600  # 17143 * 2858 / 2 ** 18 = 187 by chance
+    assert not any(r.hit for r in minhash._marked(rows, "bits", "k", keys.limit(0), "hit").collect())
+
+
 def test_components_of_rows_without_ids(spark):
     df = spark.createDataFrame([(None, words("a")), (None, words("a") + " x"), (None, words("b")), (4, words("b") + " x")], "doc_id long, text string")
     got = sorted(((r.id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=repr)
