@@ -33,8 +33,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` (its least node) for every node of ``a, b`` edges."""
+    # written first: whatever makes the edges runs once
+    edges = materialise(edges.select("a", "b").distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    now = edges.where("a <> b")
     mark = None
     for _ in range(max_rounds):
         now = materialise(_star(_star(now, True), False), "edges")
