@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import free, materialise
+from .worker_memory import give_back
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _words: dict[bytes, int] = {}
@@ -144,6 +145,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                         out.append((name, own, 0, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
         _words.clear()  # workers go on to other operators
+        give_back()
 
     return run
 
@@ -201,7 +203,9 @@ def _by_unit(batches, handle):
             held.append(batch.slice(a, b - a))
     if held:
         yield from handle(pa.Table.from_batches(held).combine_chunks())
+        held = []
     _words.clear()
+    give_back()
 
 
 def _edges(ids: np.ndarray, pairs: list[tuple[int, np.ndarray]]):

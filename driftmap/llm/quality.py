@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .worker_memory import give_back
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
@@ -144,6 +146,7 @@ def _measured(df: DataFrame, text_col: str, min_repeat: int, prefix: str) -> Dat
             rows = [measure(t.as_py(), min_repeat) for t in batch.column(at)]
             columns = list(zip(*rows)) if rows else [[] for _ in MEASURES]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], names=[*batch.schema.names, *(prefix + m for m in MEASURES)])
+        give_back()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(prefix + m, T.LongType()) for m in MEASURES)]))
 

@@ -35,6 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialise, new_path
+from .worker_memory import give_back
 
 MAGIC = b"DMT1"
 END_ID = 2
@@ -239,6 +240,7 @@ def encoded(batches, path: str, end_id: int):
             ids, lengths = encoder.encode(part.column("body"))
             ends = np.cumsum(lengths)
             yield part.column("id"), [np.append(ids[e - n : e], ids.dtype.type(end_id)) for e, n in zip(ends, lengths)]
+        give_back()
 
 
 # Byte-aligned codes: control byte -> the four code lengths.
