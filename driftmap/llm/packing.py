@@ -5,8 +5,10 @@ parent into the other, full ones first and those that break few full bins,
 removes the bins that now hold a document twice, and puts the displaced
 documents back: first they replace one or two pieces of an open bin where that
 fills it better, then best fit, longest first. Mutation empties open bins and a
-few others and refits them. A field evolves until its bins are as few as a
-lower bound allows, or the generations are spent.
+few others and refits them. The better of child and parent then has small groups
+of bins refitted, in number as the field is large. A field evolves until its bins
+are as few as a lower bound allows, or the generations are spent; their number
+does not depend on the field's size.
 
 Pieces are dealt into fields of bounded size by a hash; every field is evolved
 by several islands with their own seeds, whose elites migrate to the next
@@ -39,6 +41,8 @@ from .tokens import END_ID, default_tokenizer, encoded
 CAPACITY = 1024
 #: Rounds of replacement over the open bins of a child, at most; they end when a round fills no bin better.
 PASSES = 4
+#: A generation refits one group of bins for so many bins of a genome, with fewer than so many open ones in each.
+GROUP_SHARE, GROUP_OPEN = 800, 8
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -74,10 +78,9 @@ def best_fit(fills: list[int], lengths: np.ndarray, items: np.ndarray, assign: n
     """
     free: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
-    for b, fill in enumerate(fills):
-        if fill < capacity:
-            free[capacity - fill].append(b)
-            mask |= 1 << (capacity - fill)
+    for b in np.flatnonzero(np.array(fills, np.int64) < capacity).tolist():
+        free[capacity - fills[b]].append(b)
+        mask |= 1 << (capacity - fills[b])
     for item, size in zip(items.tolist(), lengths[items].tolist()):
         fit = mask >> size
         if fit:
@@ -123,7 +126,7 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
 class Field:
     """The pieces of one field, and the genetic operators over them."""
 
-    def __init__(self, lengths: np.ndarray, capacity: int, seed: list[int]):
+    def __init__(self, lengths: np.ndarray, capacity: int, seed: list[int] | np.random.Generator):
         self.lengths, self.capacity, self.draw = lengths, capacity, np.random.default_rng(seed)
 
     def fresh(self, noise: float) -> np.ndarray:
@@ -140,7 +143,8 @@ class Field:
         out = np.full(len(assign), -1, np.int32)
         kept = np.flatnonzero(~loose)
         if len(kept):
-            _, out[kept] = np.unique(assign[kept], return_inverse=True)
+            used = np.bincount(assign[kept]) > 0
+            out[kept] = (np.cumsum(used) - 1)[assign[kept]]
         bins = int(out.max()) + 1
         fills = np.bincount(out[kept], self.lengths[kept], bins).astype(np.int64) if bins else np.zeros(0, np.int64)
         items = np.flatnonzero(loose)
@@ -222,7 +226,8 @@ class Field:
             return items
         inside = inside[np.argsort(out[inside], kind="stable")]
         firsts = np.flatnonzero(np.diff(out[inside], prepend=-1))
-        sizes = self.lengths
+        numbers, spaces = out[inside[firsts]].tolist(), (self.capacity - fills[out[inside[firsts]]]).tolist()
+        rows, ends = list(zip(self.lengths[inside].tolist(), inside.tolist())), [*firsts[1:].tolist(), len(inside)]
 
         def take(size: int) -> int:
             nonlocal mask
@@ -233,35 +238,30 @@ class Field:
 
         def give(item: int) -> None:
             nonlocal mask
-            size = int(sizes[item])
+            size = int(self.lengths[item])
             held[size].append(item)
             mask |= 1 << size
 
-        for pieces in np.split(inside, firsts[1:]):
-            b = int(out[pieces[0]])
-            own = pieces.tolist()
-            space = self.capacity - int(fills[b])
-            ones = [(int(sizes[p]), (p,)) for p in own]
+        for b, space, first, end in zip(numbers, spaces, firsts.tolist(), ends):
+            ones = [(x, (p,)) for x, p in rows[first:end]]
             groups = ones + [(x + y, (p[0], q[0])) for k, (x, p) in enumerate(ones) for y, q in ones[k + 1 :]]
             best = (0, None, None)
             for size, removed in groups:
-                room = size + space
-                if room > self.capacity:
-                    continue
-                one = (mask & ((2 << room) - 1)).bit_length() - 1
+                one = (mask & ((2 << (size + space)) - 1)).bit_length() - 1
                 if one - size > best[0]:
                     best = (one - size, removed, (one,))
                 if best[0] == space:
                     break
             if best[0] < space:
                 for size, removed in groups:
-                    room, rest = size + space, mask & ((1 << min(self.capacity, size + space)) - 1)
+                    room = size + space
+                    rest = mask & ((1 << room) - 1)
                     while rest and best[0] < space:
                         x = rest.bit_length() - 1
                         if 2 * x < size + best[0]:
                             break
                         rest ^= 1 << x
-                        below = mask & ((2 << min(x, room - x)) - 1) if room > x else 0
+                        below = mask & ((2 << (x if 2 * x < room else room - x)) - 1)
                         y = below.bit_length() - 1
                         if y == x and len(held[x]) < 2:
                             y = (below ^ (1 << x)).bit_length() - 1
@@ -312,6 +312,36 @@ class Field:
         out[self.draw.choice(len(fills), min(len(fills), int(self.draw.integers(1, 9))), replace=False, p=weight / weight.sum())] = True
         return self.refit(a, out[a])
 
+    def regroup(self, a: np.ndarray) -> np.ndarray:
+        """Refit small groups of bins, each by itself; those that end in fewer or no less full bins stay.
+
+        Their number grows with the field, so that a generation works on a like
+        share of every field. A group joins open bins, rather those with much
+        free space, and bins of three or more pieces, which hold the small ones.
+        """
+        fills, counts = self.fills(a), np.bincount(a)
+        space = self.capacity - fills
+        is_open = np.flatnonzero(space)
+        take = self.draw.integers(2, GROUP_OPEN, -(-len(fills) // GROUP_SHARE))
+        take = take[np.cumsum(take) <= max(len(is_open), take[0])]
+        if len(is_open) < 2:
+            return a
+        opened = self.draw.choice(is_open, min(len(is_open), int(take.sum())), replace=False, p=space[is_open] / space.sum())
+        many = counts > 2
+        many[opened] = False
+        many = self.draw.permutation(np.flatnonzero(many))[: 2 * int(take.sum())]
+        order, ends = np.argsort(a, kind="stable"), np.cumsum(counts)
+        out, cuts = a.copy(), np.cumsum(take)[:-1]
+        for some, others in zip(np.split(opened, cuts), np.split(many, 2 * cuts)):
+            bins = np.concatenate([some, others[: int(self.draw.integers(len(others) + 1))]])
+            items = np.concatenate([order[end - n : end] for end, n in zip(ends[bins].tolist(), counts[bins].tolist())])
+            part = Field(self.lengths[items], self.capacity, self.draw)
+            again = part.refit(np.zeros(len(items), np.int32), np.ones(len(items), bool))
+            if fitness(part.fills(again), self.capacity) <= fitness(fills[bins], self.capacity):
+                out[items] = bins[again]
+        used = np.bincount(out) > 0
+        return (np.cumsum(used) - 1)[out].astype(np.int32)
+
     def evolve(self, population: list[np.ndarray], generations: int) -> list[np.ndarray]:
         """Steady state: every child replaces the worst genome that it beats. Best first."""
         least = least_bins(self.lengths, self.capacity)
@@ -324,6 +354,9 @@ class Field:
             child = self.cross(first, second)
             if self.draw.random() < 0.5 or (child == first).all():
                 child = self.mutate(child)
+            if fitness(self.fills(child), self.capacity) > fitness(self.fills(first), self.capacity):
+                child = first
+            child = self.regroup(child)
             scored.append((fitness(self.fills(child), self.capacity), len(population) + k, child))
             scored = sorted(scored, key=lambda x: x[:2])[: len(population)]
         return [g for _, _, g in scored]
@@ -334,10 +367,6 @@ def _lengths(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table, table.column("length").to_numpy().astype(np.int64)
 
 
-def spent(lengths: np.ndarray, effort: int) -> int:
-    return min(200, max(4, effort // max(1, len(lengths))))
-
-
 GENOMES = "field long, island int, bins long, score double, genome binary"
 
 
@@ -348,7 +377,7 @@ def _genome_rows(field: int, targets: list[int], genomes: list[np.ndarray], f: F
     return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def _evolve_level(left: DataFrame, capacity: int, islands: int, epochs: int, population: int, effort: int, seed: int) -> DataFrame:
+def _evolve_level(left: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int, seed: int) -> DataFrame:
     """The best genome of every field of ``left`` (``uid, length, field``)."""
     everywhere = left.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
 
@@ -356,7 +385,7 @@ def _evolve_level(left: DataFrame, capacity: int, islands: int, epochs: int, pop
         _, lengths = _lengths(table)
         f = Field(lengths, capacity, [seed, key[0].as_py(), key[1].as_py()])
         noise = [0.0 if key[1].as_py() == 0 else 0.05] + [0.1 + 0.1 * k for k in range(1, population)]
-        elites = f.evolve([f.fresh(x) for x in noise], spent(lengths, effort))[: max(2, population // 2)]
+        elites = f.evolve([f.fresh(x) for x in noise], generations)[: max(2, population // 2)]
         me = key[1].as_py()
         return _genome_rows(key[0].as_py(), sorted({me, (me + 1) % islands}), elites, f)
 
@@ -369,7 +398,7 @@ def _evolve_level(left: DataFrame, capacity: int, islands: int, epochs: int, pop
         got = [np.frombuffer(g, "<i4") for g in genomes]
         while len(got) < 2:
             got.append(f.fresh(0.2))
-        elites = f.evolve(got, spent(lengths, effort))[: max(2, population // 2)]
+        elites = f.evolve(got, generations)[: max(2, population // 2)]
         return _genome_rows(key[0].as_py(), sorted({me, (me + 1) % islands}), elites, f)
 
     found = materialise(everywhere.groupBy("field", "island").applyInArrow(begin, GENOMES), "genomes")
@@ -403,15 +432,15 @@ def pack(
     islands: int = 2,
     epochs: int = 2,
     population: int = 4,
-    effort: int = 300_000,
+    generations: int = 200,
     waste: int = 20,
     levels: int = 8,
     seed: int = 11,
 ) -> DataFrame:
     """Place pieces: ``uid, sequence_id, offset`` for ``uid, length`` (1 to ``capacity``).
 
-    ``effort`` is the number of pieces times generations that an island spends
-    in an epoch, within 4 and 200 generations.
+    An island spends ``generations`` in an epoch, whatever the number of pieces
+    of its field, unless it meets the lower bound before.
     """
     whole = pieces.where(F.col("length") == capacity).select("uid", (F.col("uid") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, placed = pieces.where(F.col("length") < capacity).select("uid", "length"), [whole]
@@ -422,7 +451,7 @@ def pack(
         fields = -(-n // field_pieces)
         last = fields == 1 or level == levels - 1
         dealt = left.withColumn("field", F.pmod(F.xxhash64("uid", F.lit(seed + level)), F.lit(fields)))
-        best = _evolve_level(dealt, capacity, islands, epochs, population, effort, seed + level)
+        best = _evolve_level(dealt, capacity, islands, epochs, population, generations, seed + level)
         place = _placer(level << 57, 0 if last else capacity - waste)
         out = dealt.groupBy("field").cogroup(best.groupBy("field")).applyInArrow(place, "uid long, length long, sequence_id long, offset long, done boolean")
         out = materialise(out, "placed")

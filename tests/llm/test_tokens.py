@@ -194,3 +194,24 @@ def test_packing_is_not_worse_than_best_fit(spark):
         found = out.sequence_id.nunique()
         assert len(out) == len(lengths) and out.groupby("sequence_id").length.sum().max() <= 1024
         assert found <= plain - (2 if name == "hard" else 0), (name, found, plain)
+
+
+def test_large_fields_are_searched_as_long_as_small_ones(spark):
+    lengths = triplets(2000, 4)
+    df = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "uid long, length long")
+    out = packing.pack(df, islands=1, epochs=1).join(df, "uid").toPandas()
+    assert len(out) == len(lengths) and out.groupby("sequence_id").length.sum().max() <= 1024
+    assert out.sequence_id.nunique() <= 1.018 * 2000
+
+
+def test_regroup_keeps_every_piece_and_adds_no_bin():
+    draw = np.random.default_rng(8)
+    for lengths in (triplets(300, 5), draw.integers(1, 1024, 2000), draw.integers(600, 1024, 50), np.array([700, 700]), np.array([9])):
+        f = packing.Field(lengths, 1024, [3])
+        a = f.fresh(0.3)
+        for _ in range(20):
+            b = f.regroup(a)
+            fills = f.fills(b)
+            assert len(b) == len(a) and b.min() == 0 and fills.max() <= 1024 and (fills > 0).all()
+            assert packing.fitness(fills, 1024) <= packing.fitness(f.fills(a), 1024)
+            a = b
