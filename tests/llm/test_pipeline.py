@@ -3,6 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from conftest import SMALL
 from test_minhash import brute
@@ -59,3 +60,15 @@ def test_run_gives_the_last_stage(spark, stages):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(out.select(key).collect()) == sorted(stages[-1].select(key).collect())
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_packing_stage_searches_large_fields_as_long_as_small_ones(spark):
+    draw, sizes = np.random.default_rng(4), []
+    for _ in range(1500):
+        a = int(draw.integers(390, 510))
+        b = int(draw.integers((1024 - a) // 2 - 100, (1024 - a) // 2))
+        sizes += [a, b, 1024 - a - b]
+    docs = spark.createDataFrame([(k, " a" * (n - 1)) for k, n in enumerate(sizes)], "doc_id long, text string")
+    out = corpus_pipeline.packed_sequences(spark, docs, "").toPandas().sort_values("doc_id")
+    assert out.length.tolist() == sizes and out.groupby("sequence_id").length.sum().max() <= 1024
+    assert out.sequence_id.nunique() <= 1.0135 * 1500
