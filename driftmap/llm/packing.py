@@ -70,18 +70,19 @@ def cut_pieces(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id",
     return rows.mapInArrow(cut, PIECES)
 
 
-def best_fit(fills: list[int], lengths: np.ndarray, items: np.ndarray, assign: np.ndarray, capacity: int) -> None:
+def best_fit(fills: np.ndarray, lengths: np.ndarray, items: np.ndarray, assign: np.ndarray, capacity: int) -> None:
     """Put ``items`` in the given order into the fullest bins that hold them; bins are opened as needed.
 
     Bins stand in one list per free space; a bit mask of the spaces in use
     finds the least one that is large enough.
     """
-    free: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask = 0
-    for b in np.flatnonzero(np.array(fills, np.int64) < capacity).tolist():
-        free[capacity - fills[b]].append(b)
-        mask |= 1 << (capacity - fills[b])
-    for item, size in zip(items.tolist(), lengths[items].tolist()):
+    free: dict[int, list[int]] = {}
+    mask, bins, numbers = 0, len(fills), []
+    has_room = np.flatnonzero(fills < capacity)
+    for b, space in zip(has_room.tolist(), (capacity - fills[has_room]).tolist()):
+        free.setdefault(space, []).append(b)
+        mask |= 1 << space
+    for size in lengths[items].tolist():
         fit = mask >> size
         if fit:
             space = size + (fit & -fit).bit_length() - 1
@@ -89,13 +90,13 @@ def best_fit(fills: list[int], lengths: np.ndarray, items: np.ndarray, assign: n
             if not free[space]:
                 mask ^= 1 << space
         else:
-            b, space = len(fills), capacity
-            fills.append(0)
-        assign[item] = b
-        fills[b] += size
+            b, space = bins, capacity
+            bins += 1
+        numbers.append(b)
         if space > size:
-            free[space - size].append(b)
+            free.setdefault(space - size, []).append(b)
             mask |= 1 << (space - size)
+    assign[items] = numbers
 
 
 def fitness(fills: np.ndarray, capacity: int) -> tuple[int, float]:
@@ -132,7 +133,7 @@ class Field:
     def fresh(self, noise: float) -> np.ndarray:
         order = np.argsort(-(self.lengths * (1 + noise * self.draw.random(len(self.lengths)))), kind="stable")
         assign = np.full(len(self.lengths), -1, np.int32)
-        best_fit([], self.lengths, order, assign, self.capacity)
+        best_fit(np.zeros(0, np.int64), self.lengths, order, assign, self.capacity)
         return assign
 
     def fills(self, assign: np.ndarray) -> np.ndarray:
@@ -140,27 +141,30 @@ class Field:
 
     def refit(self, assign: np.ndarray, loose: np.ndarray) -> np.ndarray:
         """Put the ``loose`` pieces among the bins of all the others: replacement in open bins, then best fit."""
-        out = np.full(len(assign), -1, np.int32)
-        kept = np.flatnonzero(~loose)
-        if len(kept):
-            used = np.bincount(assign[kept]) > 0
-            out[kept] = (np.cumsum(used) - 1)[assign[kept]]
-        bins = int(out.max()) + 1
-        fills = np.bincount(out[kept], self.lengths[kept], bins).astype(np.int64) if bins else np.zeros(0, np.int64)
-        items = np.flatnonzero(loose)
+        items, counts = np.flatnonzero(loose), np.bincount(assign)
+        gone = assign[items]
+        used = counts > np.bincount(gone, minlength=len(counts))
+        out = (np.cumsum(used, dtype=np.int32) - 1)[assign]
+        out[items] = -1
+        fills = (self.fills(assign) - np.bincount(gone, self.lengths[items], len(counts)).astype(np.int64))[used]
         for _ in range(PASSES):
             before = int(fills.sum())
-            if not bins or not len(items):
+            if not len(fills) or not len(items):
                 break
             items = self.replace(out, fills, items)
             if int(fills.sum()) == before:
                 break
+        self.place(out, fills, items)
+        return out
+
+    def place(self, out: np.ndarray, fills: np.ndarray, items: np.ndarray) -> None:
+        """Put ``items``, longest first, into bins of ``fills`` and new ones by best fit; at times into fresh bins before."""
         items = items[np.argsort(-self.lengths[items], kind="stable")]
         if self.draw.random() < 0.5:
-            items = items[self.fresh_bins(items, out, bins)]
-        levels = np.bincount(out[out >= 0], self.lengths[out >= 0]).astype(np.int64).tolist()
-        best_fit(levels, self.lengths, items, out, self.capacity)
-        return out
+            left, bins = self.fresh_bins(items, out, len(fills)), len(fills)
+            inside, items = items[~left], items[left]
+            fills = np.concatenate([fills, np.bincount(out[inside] - bins, self.lengths[inside]).astype(np.int64)])
+        best_fit(fills, self.lengths, items, out, self.capacity)
 
     def fresh_bins(self, items: np.ndarray, out: np.ndarray, bins: int) -> np.ndarray:
         """Open bins for the longest pieces, each closed by the one, two or three others that fill it best; a mask of what is left.
@@ -213,75 +217,92 @@ class Field:
         return left
 
     def replace(self, out: np.ndarray, fills: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Swap one or two pieces of open bins for one or two loose ones that fill the bin better; what is loose then."""
-        held: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        mask = 0
-        for item, size in zip(items.tolist(), self.lengths[items].tolist()):
-            held[size].append(item)
-            mask |= 1 << size
+        """Swap one or two pieces of open bins for one or two loose ones that fill the bin better; what is loose then.
+
+        Bins take their turn in order. Which bin gains next is read for many at
+        once from the greatest sums of one and of two loose pieces within every
+        room; the sums change with each swap.
+        """
         is_open = np.append(fills < self.capacity, False)
         # a piece that shares with no other cannot be helped
-        inside = np.flatnonzero(is_open[out] & (self.lengths <= self.capacity - self.lengths.min()))
+        inside = np.flatnonzero(is_open[out])
+        inside = inside[self.lengths[inside] <= self.capacity - self.lengths.min()]
         if not len(inside):
             return items
         inside = inside[np.argsort(out[inside], kind="stable")]
         firsts = np.flatnonzero(np.diff(out[inside], prepend=-1))
-        numbers, spaces = out[inside[firsts]].tolist(), (self.capacity - fills[out[inside[firsts]]]).tolist()
-        rows, ends = list(zip(self.lengths[inside].tolist(), inside.tolist())), [*firsts[1:].tolist(), len(inside)]
-
-        def take(size: int) -> int:
-            nonlocal mask
-            item = held[size].pop()
-            if not held[size]:
-                mask ^= 1 << size
-            return item
-
-        def give(item: int) -> None:
-            nonlocal mask
-            size = int(self.lengths[item])
-            held[size].append(item)
-            mask |= 1 << size
-
-        for b, space, first, end in zip(numbers, spaces, firsts.tolist(), ends):
-            ones = [(x, (p,)) for x, p in rows[first:end]]
-            groups = ones + [(x + y, (p[0], q[0])) for k, (x, p) in enumerate(ones) for y, q in ones[k + 1 :]]
-            best = (0, None, None)
-            for size, removed in groups:
-                one = (mask & ((2 << (size + space)) - 1)).bit_length() - 1
-                if one - size > best[0]:
-                    best = (one - size, removed, (one,))
-                if best[0] == space:
-                    break
-            if best[0] < space:
-                for size, removed in groups:
-                    room = size + space
-                    rest = mask & ((1 << room) - 1)
-                    while rest and best[0] < space:
-                        x = rest.bit_length() - 1
-                        if 2 * x < size + best[0]:
-                            break
-                        rest ^= 1 << x
-                        below = mask & ((2 << (x if 2 * x < room else room - x)) - 1)
-                        y = below.bit_length() - 1
-                        if y == x and len(held[x]) < 2:
-                            y = (below ^ (1 << x)).bit_length() - 1
-                        if y > 0 and x + y - size > best[0]:
-                            best = (x + y - size, removed, (x, y))
-                    if best[0] == space:
-                        break
-            if best[1] is not None:
-                for size in best[2]:
-                    out[take(size)] = b
-                for p in best[1]:
-                    out[p] = -1
-                    give(p)
-                fills[b] += best[0]
+        numbers, counts = out[inside[firsts]], np.diff(firsts, append=len(inside))
+        held: dict[int, list[int]] = {}
+        for item, size in zip(items.tolist(), self.lengths[items].tolist()):
+            held.setdefault(size, []).append(item)
+        ones, pairs = self.best_sums(held)
+        # all groups of one piece, then of two, of a bin: in the order of its pieces
+        begins, groups = np.repeat(firsts, counts), counts * (counts + 1) // 2
+        p, q = np.arange(len(inside)), np.arange(len(inside))
+        rows = [(p, q)]
+        after = begins + np.repeat(counts, counts) - 1 - p
+        first = np.repeat(p, after)
+        rows.append((first, first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after)))
+        p, q = (np.concatenate(x) for x in zip(*rows))
+        order = np.argsort(np.repeat(np.arange(len(firsts)), counts)[p], kind="stable")
+        p, q = p[order], q[order]
+        ends = np.cumsum(groups)
+        sizes = self.lengths[inside]
+        sizes = np.where(p == q, sizes[p], sizes[p] + sizes[q])
+        spaces = (self.capacity - fills)[numbers]
+        rooms = sizes + np.repeat(spaces, groups)
+        k, ahead = 0, 64
+        while k < len(firsts):
+            stop = min(len(firsts), k + ahead)
+            lo, hi = int(ends[k] - groups[k]), int(ends[stop - 1])
+            gains = np.maximum(ones[rooms[lo:hi]], pairs[rooms[lo:hi]]) > sizes[lo:hi]
+            at = int(gains.argmax())
+            if not gains[at]:
+                k, ahead = stop, 2 * ahead
+                continue
+            k, ahead = int(np.searchsorted(ends, lo + at, side="right")), 64
+            lo, hi, space, b = int(ends[k] - groups[k]), int(ends[k]), int(spaces[k]), int(numbers[k])
+            single, double = ones[rooms[lo:hi]] - sizes[lo:hi], pairs[rooms[lo:hi]] - sizes[lo:hi]
+            g = int(single.argmax())
+            gain, taken = int(single[g]), (int(ones[rooms[lo + g]]),)
+            if gain < space and (most := int(double.max())) > max(gain, 0):
+                g, gain = int(double.argmax()), most
+                taken = self.parts(held, int(pairs[rooms[lo + g]]))
+            for size in taken:
+                out[held[size].pop()] = b
+                if not held[size]:
+                    del held[size]
+            for piece in inside[[p[lo + g]] if p[lo + g] == q[lo + g] else [p[lo + g], q[lo + g]]].tolist():
+                out[piece] = -1
+                held.setdefault(int(self.lengths[piece]), []).append(piece)
+            fills[b] += gain
+            ones, pairs = self.best_sums(held)
+            k += 1
         return np.flatnonzero(out < 0)
 
+    def best_sums(self, held: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest length of a loose piece, and the greatest sum of two, within every room; -1 where there is none."""
+        sizes = np.array(sorted(held), np.int64)
+        ones, pairs = np.full(self.capacity + 1, -1, np.int64), np.full(self.capacity + 1, -1, np.int64)
+        ones[sizes] = sizes
+        sums = sizes[:, None] + sizes
+        allowed = sums <= self.capacity
+        allowed[np.diag_indices(len(sizes))] &= np.array([len(held[x]) > 1 for x in sizes.tolist()], bool)
+        sums = sums[allowed]
+        pairs[sums] = sums
+        return np.maximum.accumulate(ones), np.maximum.accumulate(pairs)
+
+    @staticmethod
+    def parts(held: dict[int, list[int]], total: int) -> tuple[int, int]:
+        """The two loose lengths of this sum, with the greatest first."""
+        x = max(x for x in held if 2 * x >= total and total - x in held and (2 * x > total or len(held[x]) > 1))
+        return x, total - x
+
     def cross(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Inject bins of ``b`` into ``a``: full ones that break fewer than two full bins of ``a``, and some other well-filled ones."""
         fills, other = self.fills(b), self.fills(a)
-        met = np.unique(b.astype(np.int64) * len(other) + a)
+        met = np.sort(b.astype(np.int64) * len(other) + a)
+        met = met[np.diff(met, prepend=-1) > 0]
         of_b, of_a = met // len(other), met % len(other)
         # full bins of a that each bin of b meets, and bins that both parents have
         breaks = np.bincount(of_b, other[of_a] == self.capacity, len(fills))
@@ -330,13 +351,18 @@ class Field:
         many = counts > 2
         many[opened] = False
         many = self.draw.permutation(np.flatnonzero(many))[: 2 * int(take.sum())]
-        order, ends = np.argsort(a, kind="stable"), np.cumsum(counts)
+        wanted = np.zeros(len(fills), bool)
+        wanted[opened] = wanted[many] = True
+        order = np.flatnonzero(wanted[a])
+        order = order[np.argsort(a[order], kind="stable")]
+        ends = np.cumsum(np.where(wanted, counts, 0))
         out, cuts = a.copy(), np.cumsum(take)[:-1]
         for some, others in zip(np.split(opened, cuts), np.split(many, 2 * cuts)):
             bins = np.concatenate([some, others[: int(self.draw.integers(len(others) + 1))]])
             items = np.concatenate([order[end - n : end] for end, n in zip(ends[bins].tolist(), counts[bins].tolist())])
             part = Field(self.lengths[items], self.capacity, self.draw)
-            again = part.refit(np.zeros(len(items), np.int32), np.ones(len(items), bool))
+            again = np.full(len(items), -1, np.int32)
+            part.place(again, np.zeros(0, np.int64), np.arange(len(items)))
             if fitness(part.fills(again), self.capacity) <= fitness(fills[bins], self.capacity):
                 out[items] = bins[again]
         used = np.bincount(out) > 0
@@ -354,7 +380,7 @@ class Field:
             child = self.cross(first, second)
             if self.draw.random() < 0.5 or (child == first).all():
                 child = self.mutate(child)
-            if fitness(self.fills(child), self.capacity) > fitness(self.fills(first), self.capacity):
+            if fitness(self.fills(child), self.capacity) > (scored[i] if first is scored[i][2] else scored[j])[0]:
                 child = first
             child = self.regroup(child)
             scored.append((fitness(self.fills(child), self.capacity), len(population) + k, child))

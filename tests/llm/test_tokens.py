@@ -1,5 +1,8 @@
+import cProfile
 import functools
+import pstats
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -215,3 +218,57 @@ def test_regroup_keeps_every_piece_and_adds_no_bin():
             assert len(b) == len(a) and b.min() == 0 and fills.max() <= 1024 and (fills > 0).all()
             assert packing.fitness(fills, 1024) <= packing.fitness(f.fills(a), 1024)
             a = b
+
+
+def swapped(f, out, fills, items):
+    """``Field.replace`` bin by bin and swap by swap."""
+    held = {}
+    for item in items.tolist():
+        held.setdefault(int(f.lengths[item]), []).append(item)
+    for b in np.flatnonzero(fills < f.capacity).tolist():
+        own = [k for k in np.flatnonzero(out == b).tolist() if f.lengths[k] <= f.capacity - f.lengths.min()]
+        best = (0, (), ())
+        for n in (1, 2):
+            for removed in [*combinations(own, 1), *combinations(own, 2)]:
+                size = int(f.lengths[list(removed)].sum())
+                for put in combinations(sorted((s for s, k in held.items() for _ in k[:2]), reverse=True), n):
+                    if sum(put) <= size + f.capacity - fills[b] and sum(put) - size > best[0]:
+                        best = (sum(put) - size, removed, put)
+        for size in best[2]:
+            out[held[size].pop()] = b
+            if not held[size]:
+                del held[size]
+        for k in best[1]:
+            out[k] = -1
+            held.setdefault(int(f.lengths[k]), []).append(k)
+        fills[b] += best[0]
+    return np.flatnonzero(out < 0)
+
+
+def test_replacement_is_that_of_one_bin_after_the_other():
+    draw, moved = np.random.default_rng(6), 0
+    for _ in range(60):
+        lengths = draw.integers(1, int(draw.integers(3, 100)), int(draw.integers(4, 40)))
+        f = packing.Field(lengths, 100, [2])
+        a = f.fresh(0.5)
+        loose = np.flatnonzero(a >= max(1, a.max() - int(draw.integers(0, 4))))
+        a[loose] = -1
+        got, want = a.copy(), a.copy()
+        fills = np.bincount(a[a >= 0], lengths[a >= 0]).astype(np.int64)
+        fills_got, fills_want = fills.copy(), fills.copy()
+        left = f.replace(got, fills_got, loose)
+        assert left.tolist() == swapped(f, want, fills_want, loose).tolist()
+        assert (got == want).all() and (fills_got == fills_want).all()
+        moved += int(fills_got.sum() > fills.sum())
+    assert moved > 20
+
+
+def test_replacement_does_not_call_for_every_bin_that_cannot_gain():
+    bins = 5000
+    f = packing.Field(np.array([600, 100] * bins + [10]), 1024, [1])
+    out, calls = np.append(np.repeat(np.arange(bins), 2), -1).astype(np.int32), cProfile.Profile()
+    calls.enable()
+    left = f.replace(out, np.full(bins, 700), np.array([2 * bins]))
+    calls.disable()
+    assert left.tolist() == [2 * bins]
+    assert pstats.Stats(calls).total_calls < bins / 5
