@@ -44,6 +44,8 @@ BLOCK_IDS = 1 << 18
 MEMO_WORDS = 400_000
 MEMO_PIECES = 900_000
 SLICE_BYTES = 8 << 20
+#: New pieces of a slice become Python strings, and its pieces ids, so many at a time.
+NEW_PIECES, JOINED_PIECES = 1 << 15, 1 << 17
 _SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WHOLE = f"[{_SPACE}][{_SPACE}]|[\x01\x02]"
 _encoders: dict[str, "TextEncoder"] = {}
@@ -142,13 +144,18 @@ class TextEncoder:
         tokenize, letters, space = self.library.model.tokenize, self.letters, self.letters[32]
         # ASCII letters stand for themselves in the byte alphabet
         spelt = [w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in runs]
-        found = [[t.id for t in tokenize(w)] for w in spelt]
+        ids, ends = [], []
+        for w in spelt:
+            ids += [t.id for t in tokenize(w)]
+            ends.append(len(ids))
         if len(runs) < len(words):
             direct = set(runs)
             rest = [w for w in words if w not in direct]
-            found += [e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False)]
+            for e in self.library.encode_batch_fast(rest, add_special_tokens=False):
+                ids += e.ids
+                ends.append(len(ids))
             runs += rest
-        numbers = self.words.add(np.array([i for x in found for i in x], self.dtype), np.array([len(x) for x in found], np.int64))
+        numbers = self.words.add(np.array(ids, self.dtype), np.diff(np.array(ends, np.int64), prepend=0))
         self.known.update(zip(runs, numbers.tolist()))
 
     @staticmethod
@@ -179,9 +186,7 @@ class TextEncoder:
         at = at.ravel()
         self.words.hits[at] += 1
         sizes = self.words.lengths(at)
-        numbers = self.pieces.add(gather(self.words.pool, self.words.begins[at], sizes), sizes.reshape(-1, 3).sum(axis=1))
-        self.names = pa.concat_arrays([self.names, names])
-        return numbers
+        return self.pieces.add(gather(self.words.pool, self.words.begins[at], sizes), sizes.reshape(-1, 3).sum(axis=1))
 
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.pieces.n > MEMO_PIECES:
@@ -192,16 +197,24 @@ class TextEncoder:
             self._learn([w for w in ("", "\n") if w not in self.known])
         lists = pc.split_pattern(pc.binary_join_element_wise("\x02", pc.replace_substring(texts, "\n", " \x01"), ""), " ")
         coded = lists.flatten().dictionary_encode()
-        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # the hash table is that of the slice's pieces, which are fewer than those remembered
+        found = pc.fill_null(pc.index_in(self.names, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+        at, met = np.full(len(coded.dictionary), -1, np.int64), np.flatnonzero(found >= 0)
+        at[found[met]] = met
         new = np.flatnonzero(at < 0)
         if len(new):
-            at[new] = self._add_pieces(coded.dictionary.take(pa.array(new)))
+            names = coded.dictionary.take(pa.array(new))
+            at[new] = np.concatenate([self._add_pieces(names.slice(k, NEW_PIECES)) for k in range(0, len(new), NEW_PIECES)])
+            self.names = pa.concat_arrays([self.names, names])
         self.pieces.hits[at] += 1
-        at = at[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = self.pieces.lengths(at)
-        firsts = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
-        per_text = np.add.reduceat(lengths, firsts) if len(firsts) else np.zeros(0, np.int64)
-        return gather(self.pieces.pool, self.pieces.begins[at], lengths), per_text
+        indices, firsts = coded.indices.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        ids, lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        for k in range(0, len(indices), JOINED_PIECES):
+            some = at[indices[k : k + JOINED_PIECES]]
+            lengths.append(self.pieces.lengths(some))
+            ids.append(gather(self.pieces.pool, self.pieces.begins[some], lengths[-1]))
+        per_text = np.add.reduceat(np.concatenate(lengths), firsts) if len(firsts) else np.zeros(0, np.int64)
+        return np.concatenate(ids), per_text
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
@@ -238,6 +251,7 @@ def encoded(batches, path: str, end_id: int):
     for batch in batches:
         for part in slices(batch, "body"):
             ids, lengths = encoder.encode(part.column("body"))
+            give_back()
             ends = np.cumsum(lengths)
             yield part.column("id"), [np.append(ids[e - n : e], ids.dtype.type(end_id)) for e, n in zip(ends, lengths)]
         give_back()

@@ -1,6 +1,7 @@
 import cProfile
 import functools
 import pstats
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -272,3 +273,20 @@ def test_replacement_does_not_call_for_every_bin_that_cannot_gain():
     calls.disable()
     assert left.tolist() == [2 * bins]
     assert pstats.Stats(calls).total_calls < bins / 5
+
+
+def test_new_words_take_bounded_memory():
+    draw = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = pa.array([" ".join("".join(w) for w in letters[draw.integers(0, 26, (150, 9))]) for _ in range(1000)])
+    encoder = tokens.TextEncoder(tokens.default_tokenizer())
+    tracemalloc.start()
+    try:
+        ids, lengths = encoder.encode(texts)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    library = fresh()
+    assert ids[: lengths[0]].tolist() == library.encode(texts[0].as_py(), add_special_tokens=False).ids
+    assert ids[-lengths[-1] :].tolist() == library.encode(texts[-1].as_py(), add_special_tokens=False).ids
+    assert peak - held < 20e6
