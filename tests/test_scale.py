@@ -1,9 +1,14 @@
 """All-pairs work: what is moved and sent grows no faster than the points, and ties are whole."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from driftmap import Options, fit
+from driftmap.functions import kernels
 from driftmap.operators import distance, forces, knn, quality
+from driftmap.plans import fit as plan
+from driftmap.plans import loop
 
 
 def points_of(spark, x, ids=None):
@@ -75,3 +80,30 @@ def test_ranks_of_layout_neighbours_join_no_distances(spark):
     # distances of all pairs meet nothing: the only join gives points their targets
     assert plan_of(trust).count("mapInArrow") + plan_of(trust).count("MapInArrow") <= 2
     assert abs(trust.first().trust - (1 - 2 / (n * 6 * (2 * n - 19)) * sum(max(0, rank[ij] - 6) for ij in want))) < 1e-12
+
+
+def test_pair_sums_of_rows_are_those_of_the_whole():
+    y = np.random.default_rng(6).normal(0, 3, (700, 2)) + 50
+    whole, z = kernels.repulsion_exact(y, cells=1 << 10, columns=64)
+    d = y[:, None] - y[None]
+    w = 1 / (1 + np.square(d).sum(axis=2))
+    assert np.allclose(whole, (d * np.square(w)[:, :, None]).sum(axis=1)) and z == pytest.approx(w.sum() - 700)
+    parts = [kernels.repulsion_exact(y, rows=slice(a, a + 100)) for a in range(0, 700, 100)]
+    assert np.allclose(np.concatenate([f for f, _ in parts]), whole) and sum(v for _, v in parts) == pytest.approx(z)
+
+
+def test_pair_sums_too_large_for_a_task_are_dealt_out(spark, monkeypatch):
+    p = points_of(spark, np.random.default_rng(7).normal(size=(90, 4)))
+    go = lambda engine: np.array(fit(p, Options(perplexity=5, num_neighbors=16, n_iter=3, engine=engine, repulsion="exact", random_seed=4)).layout.orderBy("id").select("x", "y").collect())
+    want = go("single_task")
+
+    def refuse(*_, **__):
+        raise AssertionError("all pairs in one place")
+
+    monkeypatch.setattr(plan, "EXACT_POINTS", 50)
+    monkeypatch.setattr(loop, "repel", refuse)
+    monkeypatch.setattr(plan, "_single_task", refuse)
+    with pytest.warns(UserWarning, match="too large for one task"):
+        assert np.abs(go("single_task") - want).max() < 1e-9
+    for engine in ("distributed", "auto"):
+        assert np.abs(go(engine) - want).max() < 1e-9
