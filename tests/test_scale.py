@@ -1,12 +1,14 @@
 """All-pairs work: what is moved and sent grows no faster than the points, and ties are whole."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmap import Options, fit
+from driftmap import Options, fit, fit_groups
 from driftmap.functions import kernels
-from driftmap.operators import distance, forces, knn, quality
+from driftmap.operators import distance, forces, knn, quality, symmetrize
 from driftmap.plans import fit as plan
 from driftmap.plans import loop
 
@@ -107,3 +109,22 @@ def test_pair_sums_too_large_for_a_task_are_dealt_out(spark, monkeypatch):
         assert np.abs(go("single_task") - want).max() < 1e-9
     for engine in ("distributed", "auto"):
         assert np.abs(go(engine) - want).max() < 1e-9
+
+
+def test_large_groups_are_fitted_side_by_side(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(80, 4))
+    rows = points_of(spark, x).select((F.col("id") % 2).alias("group"), "id", "features")
+    opt, both, whole = Options(perplexity=5, num_neighbors=16, n_iter=3), threading.Barrier(2, timeout=60), plan.fit
+    monkeypatch.setattr(plan, "GROUP_POINTS", 30)
+    monkeypatch.setattr(plan, "fit", lambda *a, **k: (both.wait(), whole(*a, **k))[1])
+    got = {r.id: (r.group, r.x, r.y) for r in fit_groups(rows, opt).collect()}
+    for g in (0, 1):
+        want = whole(rows.where(F.col("group") == g).select("id", "features"), opt).layout.collect()
+        assert len(want) == 40 and all(got[r.id][0] == g and np.allclose(got[r.id][1:], (r.x, r.y)) for r in want)
+
+
+def test_edges_meet_their_mirrors_without_a_join(spark):
+    e = spark.createDataFrame([(0, 1, 1.0), (1, 0, 0.5), (2, 1, 1.0)], "i long, j long, p double")
+    one = symmetrize.one_sided(e, 3)
+    assert "Join" not in plan_of(one)
+    assert {(r.i, r.j): r.p for r in one.collect()} == pytest.approx({(0, 1): 0.25, (1, 0): 0.25, (2, 1): 1 / 6})
