@@ -4,9 +4,10 @@ import threading
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
-from driftmap import Options, fit, fit_groups
+from driftmap import Options, fit, fit_groups, queries
 from driftmap.functions import kernels
 from driftmap.operators import distance, forces, knn, quality, symmetrize
 from driftmap.plans import fit as plan
@@ -128,3 +129,8 @@ def test_edges_meet_their_mirrors_without_a_join(spark):
     one = symmetrize.one_sided(e, 3)
     assert "Join" not in plan_of(one)
     assert {(r.i, r.j): r.p for r in one.collect()} == pytest.approx({(0, 1): 0.25, (1, 0): 0.25, (2, 1): 1 / 6})
+
+
+@pytest.mark.parametrize("name", ["integrate_step", "update_norm"])
+def test_a_step_sums_over_all_pairs_once(spark, name):
+    assert "MapInArrow" not in plan_of(queries.QUERIES[name](spark, SMALL))
